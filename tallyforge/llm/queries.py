@@ -7,10 +7,13 @@ from importlib import import_module
 #: query -> module; each module has a function of the query's name and may have its SQL in ORACLE_SQL.
 NAMES = {
     "op1_language_id": "language",
+    "op2_substring_dedup": "substring_dedup",
     "op3_token_counts": "token_counts",
     "op4_license_scan": "licenses",
     "op5_packing": "packing",
+    "op6_jaccard_join": "jaccard_join",
     "op7_decontamination": "decontamination",
+    "op8_quality_rules": "quality_rules",
     "op9_personal_data": "personal_data",
     "op10_quality": "quality",
 }
