@@ -1,13 +1,59 @@
-"""Documents to training sequences, stage by stage."""
+"""Documents to training sequences in five stages.
+
+quality classifier -> n-gram Jaccard join -> benchmark decontamination ->
+personal data -> best-fit packing.  Each stage takes what its predecessor
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import decontamination, jaccard_join, packing, personal_data, quality
+from tallyforge.llm.common import fold, stored, table
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from labelled documents outside fold 0."""
+    labels = table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return quality.score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the smallest id; documents without an id all stay."""
+    found = jaccard_join.near_duplicates(docs)
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return kept
+
+
+def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def impersonal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind, n_chars counted anew."""
+    out = personal_data.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good), ("near_duplicates", different), ("decontamination", untested), ("personal_data", impersonal), ("packing", packed)]
+
+#: The classifiers and the search aren't SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, what each keeps written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(spark, stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
