@@ -22,11 +22,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id; documents without an id all stay."""
-    found = jaccard_join.near_duplicates(docs)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    return kept
+    """One document of each group of near-duplicates: the one of the smallest id."""
+    return jaccard_join.kept(docs)
 
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -312,6 +312,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     probability of 5e-8, and pruning drops them with at most TOLERANCE at each
     step; what is counted is verified on the shingles themselves.
     """
+    rows = classed(docs)
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(ids, "root").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """One row of docs of each class, all columns: that of the smallest doc_id (then of the text's hash); one without an id only where no row of the class has one."""
+    least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "rid")
+    chosen = classed(docs).groupBy("root").agg(F.min(least).alias("first")).select(F.col("first.rid").alias("kept_rid"))
+    chosen = stored(docs.sparkSession, chosen, "kept")
+    own = docs.withColumn("kept_rid", F.xxhash64("doc_id", F.col("text").cast("string")))
+    own = own.join(chosen, "kept_rid", "left_semi")
+    # rows that repeat an id and its text are one document
+    return own.dropDuplicates(["kept_rid"]).select(*docs.columns)
+
+
+def classed(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, root, n_links and n_copies of each row of docs; root is the same for all rows of a class."""
     spark = docs.sparkSession
     every = stored(spark, signed(docs), "signed")
     least = F.min(F.struct("doc_id", "rid", "n_shingles", "sig"))
@@ -326,10 +344,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = linked.select("key", F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # the rows of a class can be many: the key's copies are joined, and the least id is a minimum summed up before the shuffle
     rows = every.select("rid", "doc_id", "key").join(linked, "key", "left").withColumn("root", F.coalesce("root", "rid"))
-    rows = stored(spark, rows.drop("key", "rid"), "classed")
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     copies = F.coalesce(F.col("copies"), F.lit(1)) - 1
-    return rows.join(ids, "root").select("doc_id", "class_id", (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
+    rows = rows.select("rid", "doc_id", "root", (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
+    return stored(spark, rows, "classed")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
