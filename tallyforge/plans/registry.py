@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("worklist", "matching", "pricing", "review", "export", "profiles", "documents", "intake")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -18,9 +21,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"tallyforge.plans.{name}")
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
