@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontamination, jaccard_join, packing, personal_data, quality
-from tallyforge.llm.common import fold, stored, table
+from tallyforge.llm.common import boxed, fold, stored, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labelled documents outside fold 0."""
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
-    return quality.score(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.score(boxed(docs, text=F.col("text")), model, ["row"]).where("predicted = 1").select("row.*")
 
 
 def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,11 @@ def fold(doc_id, k: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def boxed(docs: DataFrame, **columns) -> DataFrame:
+    """Each row of docs as one column, row, beside columns worked out from it: no name of docs can clash; select("row.*") opens it."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one in the working directory's store where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import stored, table, words_col
 
 WINDOW = 10
-#: Test words that are broadcast at once; larger test sets go through in blocks.
-BLOCK_WORDS = 2_000_000
+#: Test words that are broadcast at once, with up to 18 words around each (some 50 MB); larger test sets go through in blocks.
+BLOCK_WORDS = 200_000
 
 
 def with_words(docs: DataFrame) -> DataFrame:
@@ -42,10 +42,10 @@ def frequencies(worded: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Windows of items(item_id, words): item_id, start, length; an item of fewer words, but not none, is one window."""
+    """Windows of items(ikey, item_id, words): ikey, words, start, length; an item of fewer words, but not none, is one window."""
     size = F.size("words")
     last = F.greatest(size - window, F.lit(0))
-    return items.where(size > 0).select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("start"), F.least(size, F.lit(window)).alias("length"))
+    return items.where(size > 0).select("ikey", "words", F.explode(F.sequence(F.lit(0), last)).alias("start"), F.least(size, F.lit(window)).alias("length"))
 
 
 def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -54,13 +54,13 @@ def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFr
     Windows with a term that the training text lacks can't occur and have none.
     """
     cut = windows(items, window)
-    terms = cut.select("item_id", "start", "length", F.posexplode(F.expr("slice(words, start + 1, length)")).alias("offset", "term"))
+    terms = cut.select("ikey", "start", "length", F.posexplode(F.expr("slice(words, start + 1, length)")).alias("offset", "term"))
     rated = terms.join(F.broadcast(counts), "term", "left")
-    rarest = rated.groupBy("item_id", "start", "length").agg(F.min(F.struct("n", "term", "offset")).alias("rarest"), F.count("n").alias("known"))
-    chosen = rarest.where("known = length").select("item_id", (F.col("start") + F.col("rarest.offset")).alias("place"), F.col("rarest.term").alias("term"), "length").distinct()
-    own = items.select("item_id", "words")
+    rarest = rated.groupBy("ikey", "start", "length").agg(F.min(F.struct("n", "term", "offset")).alias("rarest"), F.count("n").alias("known"))
+    chosen = rarest.where("known = length").select("ikey", (F.col("start") + F.col("rarest.offset")).alias("place"), F.col("rarest.term").alias("term"), "length").distinct()
+    own = items.select("ikey", "item_id", "words")
     start = F.greatest(F.col("place") - window + 1, F.lit(0))
-    return chosen.join(own, "item_id").select("term", "item_id", "place", "length", F.reverse(F.slice("words", start + 1, F.col("place") - start)).alias("item_before"), F.slice("words", F.col("place") + 2, F.lit(window - 1)).alias("item_after"))
+    return chosen.join(own, "ikey").select("term", "item_id", "place", "length", F.reverse(F.slice("words", start + 1, F.col("place") - start)).alias("item_before"), F.slice("words", F.col("place") + 2, F.lit(window - 1)).alias("item_after"))
 
 
 def _agree(a: str, b: str):
@@ -88,23 +88,24 @@ def proximity_matches(worded: DataFrame, items: DataFrame, rare: int = 3, within
     """
     terms = items.select(F.explode("words").alias("term")).distinct()
     counts = frequencies(worded, terms)
-    each = items.select("item_id", F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(counts), "term")
-    order = Window.partitionBy("item_id").orderBy("n", "term")
+    each = items.select("ikey", "item_id", F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(counts), "term")
+    order = Window.partitionBy("ikey").orderBy("n", "term")
     chosen = each.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rare)
-    needed = F.count("*").over(Window.partitionBy("item_id"))
-    chosen = chosen.withColumn("needed", needed).select("term", "item_id", "k", "needed")
-    found = postings(worded, chosen).join(F.broadcast(chosen), "term").select("rid", "item_id", "k", "needed", "pos")
-    ahead = Window.partitionBy("rid", "item_id").orderBy("pos").rangeBetween(0, within - 1)
+    needed = F.count("*").over(Window.partitionBy("ikey"))
+    chosen = chosen.withColumn("needed", needed).select("term", "ikey", "item_id", "k", "needed")
+    found = postings(worded, chosen).join(F.broadcast(chosen), "term").select("rid", "ikey", "item_id", "k", "needed", "pos")
+    ahead = Window.partitionBy("rid", "ikey").orderBy("pos").rangeBetween(0, within - 1)
     span = found.withColumn("kinds", F.size(F.collect_set("k").over(ahead))).withColumn("last", F.max("pos").over(ahead))
     return span.where("kinds = needed").groupBy("rid", "item_id").agg(F.min("pos").alias("first"), F.min_by("last", "pos").alias("last"))
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[DataFrame]:
-    """Items (item_id, words) in blocks of about so many words; one block for all but huge test sets."""
-    items = benchmark.select("item_id", words_col(F.col("text").cast("string")).alias("words")).where("item_id is not null and size(words) > 0")
+    """Distinct items (ikey, item_id, words) in blocks of about so many words; one block for all but huge test sets."""
+    items = benchmark.select("item_id", words_col(F.col("text").cast("string")).alias("words")).where("item_id is not null and size(words) > 0").distinct()
+    items = items.withColumn("ikey", F.xxhash64("item_id", "words"))
     total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).collect()[0].n
     k = -(-total // most)
-    return [items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(k)) == i) for i in range(k)]
+    return [items.where(F.pmod("ikey", F.lit(k)) == i) for i in range(k)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -114,7 +115,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     one row for each row of docs; repeated rows stay and rows of one id are
     told apart by their texts.  Null and empty texts have no words and no
     hits; items with a null id or without words never occur; repeated items
-    count once for each id.  With no items nothing is contaminated.  Other
+    count once for each id, and texts of one id are one item.  With no items nothing is contaminated.  Other
     columns are not read.
     """
     worded = with_words(docs)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import stored, table, words
+from tallyforge.llm.common import boxed, stored, table, words
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -322,10 +322,9 @@ def kept(docs: DataFrame) -> DataFrame:
     least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "rid")
     chosen = classed(docs).groupBy("root").agg(F.min(least).alias("first")).select(F.col("first.rid").alias("kept_rid"))
     chosen = stored(docs.sparkSession, chosen, "kept")
-    own = docs.withColumn("kept_rid", F.xxhash64("doc_id", F.col("text").cast("string")))
-    own = own.join(chosen, "kept_rid", "left_semi")
+    own = boxed(docs, kept_rid=F.xxhash64("doc_id", F.col("text").cast("string"))).join(chosen, "kept_rid", "left_semi")
     # rows that repeat an id and its text are one document
-    return own.dropDuplicates(["kept_rid"]).select(*docs.columns)
+    return own.dropDuplicates(["kept_rid"]).select("row.*")
 
 
 def classed(docs: DataFrame) -> DataFrame:

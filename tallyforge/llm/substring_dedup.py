@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import stored, table
+from tallyforge.llm.common import boxed, stored, table
 
 #: Bytes on either side that a cut's hash is the largest among: chunks have RADIUS + 1 bytes at least, twice as many on average.
 RADIUS = 24
@@ -145,17 +145,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut out of text, all columns and rows kept; null texts stay null."""
     cut = stored(docs.sparkSession, chunks(docs), "chunks")
-    found = repeats(cut).groupBy(F.col("rid").alias("found_rid")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("found_spans"))
-    joined = docs.join(found, F.xxhash64(docs["doc_id"], docs["text"].cast("string")) == found["found_rid"], "left")
-    raw = F.col("text").cast("string").cast("binary")
+    found = repeats(cut).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
+    text = F.col("text").cast("string")
+    joined = boxed(docs, rid=F.xxhash64("doc_id", text), raw=text.cast("binary")).join(found, "rid", "left")
     # what stands before each passage, and what stands behind the last
     step = F.aggregate(
-        "found_spans",
+        "spans",
         F.struct(F.lit(b"").cast("binary").alias("out"), F.lit(0).cast("long").alias("past")),
-        lambda a, s: F.struct(F.concat(a["out"], F.substring(raw, (a["past"] + 1).cast("int"), (s["start"] - a["past"]).cast("int"))).alias("out"), (s["start"] + s["length"]).alias("past")),
+        lambda a, s: F.struct(F.concat(a["out"], F.substring("raw", (a["past"] + 1).cast("int"), (s["start"] - a["past"]).cast("int"))).alias("out"), (s["start"] + s["length"]).alias("past")),
     )
-    cleaned = F.concat(step["out"], F.substring(raw, (step["past"] + 1).cast("int"), F.octet_length(raw))).cast("string")
-    return joined.withColumn("text", F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    stepped = joined.select("row", "raw", step.alias("step"))
+    cleaned = F.concat(F.col("step.out"), F.substring("raw", (F.col("step.past") + 1).cast("int"), F.octet_length("raw"))).cast("string")
+    whole = F.when(F.col("step").isNull(), F.col("row.text")).otherwise(cleaned)
+    return stepped.select(*[whole.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
