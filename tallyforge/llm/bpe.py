@@ -18,7 +18,7 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = regex.compile(r"\s+").match
 #: Entries after which a worker's memory of pieces starts anew; it only saves time.
-REMEMBER = 500_000
+REMEMBER = 300_000
 LONG = 64
 #: A word and the signs behind it, which are two pieces.
 SIGNED = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch

@@ -30,7 +30,7 @@ VALUES, ROWS, STEP = 128, 4, 16
 TOLERANCE = 1e-6
 #: Texts of a block; a larger bucket or group is compared block by block.  Shingles of a block, about.
 BLOCK, SHINGLES = 512, 4_000_000
-REMEMBER = 400_000
+REMEMBER = 200_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 

@@ -21,7 +21,7 @@ SIZE = 1 << 18
 #: Share of the machine's own weights, cost of a hinge, rounds of descent.
 BETA, COST, ROUNDS = 0.25, 1.0, 15
 THRESHOLD = 0.3
-REMEMBER = 300_000
+REMEMBER = 150_000
 RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
