@@ -58,5 +58,5 @@ def divide_money(amount: Column, quantity: Column) -> Column:
 
 
 def close(a: Column, b: Column) -> Column:
-    """Within 0.02 or a thousandth, whichever is more."""
-    return F.abs(a - b) <= F.greatest(F.lit(0.02), 0.001 * F.greatest(F.abs(a), F.abs(b)))
+    """Within 0.02 or a thousandth of b, whichever is more."""
+    return F.abs(a - b) <= F.greatest(F.lit(0.02), 0.001 * F.abs(b))

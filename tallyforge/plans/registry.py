@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("worklist", "matching", "pricing", "review", "export", "profiles", "documents", "intake")
+MODULES = ("worklist", "scalars", "matching", "pricing", "review", "export", "profiles", "documents", "intake")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 

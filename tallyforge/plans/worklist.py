@@ -124,9 +124,9 @@ def key_sets(spark, d):
     return own.agg(F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") | F.col("b")).alias("n_any"), F.count_if(F.col("a") & ~F.col("b")).alias("n_only_auto"))
 
 
-@query("semi_join_known_suppliers", R.with_("cat") + " SELECT s_suppkey AS supplier_id, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM cat WHERE supplier_id = s_suppkey AND unit_cost > 1800)")
+@query("semi_join_known_suppliers", R.with_("cat") + " SELECT s_suppkey AS supplier_id, s_name FROM supplier WHERE EXISTS (SELECT 1 FROM cat WHERE supplier_id = s_suppkey AND unit_cost > 995)")
 def semi_join_known_suppliers(spark, d):
-    known = R.catalog(spark, d).where("unit_cost > 1800").select("supplier_id")
+    known = R.catalog(spark, d).where("unit_cost > 995").select("supplier_id")
     return R.read(spark, d, "supplier").select(F.col("s_suppkey").alias("supplier_id"), "s_name").join(known, "supplier_id", "left_semi")
 
 

@@ -28,7 +28,7 @@ def test_decisions(spark):
     assert (got["exact"].state, got["exact"].item_key, got["exact"].confidence) == ("auto", "k1", 100.0)
     assert got["twice"].state == "suggested"
     assert got["other supplier"].state == "unmatched" and got["other supplier"].confidence <= 45
-    assert got["one-sided"].state != "auto" and got["one-sided"].confidence <= 92
+    assert got["one-sided"].state == "suggested" and got["one-sided"].suggestion == "k1"; assert got["one-sided"].confidence <= 92
     assert (got["none"].state, got["none"].item_key) == ("unmatched", None)
 
 
@@ -44,3 +44,20 @@ def test_duplicates(spark):
     df = spark.createDataFrame(rows, "id long, supplier_id long, number string, d string, t string").selectExpr("id", "supplier_id", "number", "to_date(d) invoice_date", "cast(t as decimal(18,2)) total", "'ready' status", "2 digits")
     got = {r.id: (r.others, r.level, r.first_other) for r in P.duplicates(df).collect()}
     assert got == {1: (2, "strong", 2), 2: (2, "strong", 1), 3: (2, "weak", 1)}
+
+
+def test_unit_states(spark):
+    from tallyforge.operators.units import unit_state
+
+    empty = ([], [], [])
+    rows = [
+        ("confirmed", *empty, "EACH", *empty, "EACH"), ("unconfirmed", *empty, "EACH", *empty, "BOX"), ("unconfirmed", *empty, None, *empty, "BOX"), ("assumed", *empty, None, *empty, "EACH"),
+        ("assumed", *empty, "BOX", *empty, None), ("unconfirmed", *empty, None, *empty, "ML"), ("unverified", [], [], [], "EACH", ["volume_ml:1"], [], [], "EACH"), ("unconfirmed", ["volume_ml:2"], [], [], "EACH", ["volume_ml:1"], [], [], "EACH"),
+        ("unconfirmed", *empty, None, [], [6], [], "EACH"),
+    ]
+    kinds = "want string, " + ", ".join(f"{s}_sizes array<string>, {s}_packs array<long>, {s}_shades array<string>, {s}_uom string" for s in "ab")
+    from pyspark.sql import functions as F
+
+    a, b = ({c: F.col(f"{s}_{c}") for c in ("sizes", "packs", "shades", "uom")} for s in "ab")
+    got = spark.createDataFrame(rows, kinds).select("want", unit_state(a, b).alias("got")).collect()
+    assert all(r.want == r.got for r in got), got
