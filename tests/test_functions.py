@@ -33,6 +33,9 @@ def test_money(spark):
 
 def test_text(spark):
     assert one(spark, text.match_text(F.lit("Hydrating Cleanser 50ml & Clr"))) == "hydrating cleanser 50 ml and color"
+    cases = ["12PCS pk Clr&Moisturiser 5Litres", "", "ea", "eaea 3kilograms-x 2grams", " PKG  of12btls "]
+    for c in cases:
+        assert one(spark, text.match_text(F.lit(c))) == unicode.fold(c)
     assert unicode.fold("Crème 50ML × 2") == "creme 50 ml x 2"
     assert one(spark, text.unit(F.lit("pcs."))) == "EACH" and one(spark, text.unit(F.lit("12"))) is None
     assert one(spark, text.name_key(F.lit("Desert Beauty Trading L.L.C"))) == "DESERTBEAUTY"
