@@ -138,3 +138,16 @@ def duplicate_row_collapse(spark, d):
     own = items(spark, d).select(i.alias("line_id"), "rms_item_id", "item_key", "unit_cost", "uom", F.when(i % 3 == 0, F.col("upc")).when(F.col("supplier_id") % 2 == 0, "U").alias("upc"))
     own = own.withColumn("rank", F.row_number().over(Window.partitionBy("line_id").orderBy("item_key")))
     return M.collapse(own, {"unit_cost": "cost", "uom": "unit", "upc": "code"})
+
+
+@query("score_bands", "SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'exact' WHEN event_id % 101 >= 94 THEN 'very strong' WHEN event_id % 101 >= 82 THEN 'strong' WHEN event_id % 101 >= 70 THEN 'moderate' ELSE 'weak' END AS band, CASE event_id % 3 WHEN 0 THEN 'AED' WHEN 1 THEN 'USD' END AS currency FROM events")
+def score_bands(spark, d):
+    e = F.col("event_id")
+    first, second = F.when(e % 3 == 0, " aed").otherwise(""), F.when(e % 3 == 1, "USD").when(e % 3 == 2, " ").otherwise("EUR")
+    return R.read(spark, d, "events").select("event_id", M.score_band(e % 101, e % 50 == 0).alias("band"), M.stated_currency(first, second).alias("currency"))
+
+
+@query("document_confidence", "SELECT doc_id % 20 AS doc, round(avg((n_chars % 100) / 100.0), 3) AS confidence FROM documents GROUP BY 1")
+def document_confidence(spark, d):
+    parts = R.read(spark, d, "documents").select((F.col("doc_id") % 20).alias("doc"), ((F.col("n_chars") % 100) / 100.0).alias("sure"))
+    return M.mean_confidence(parts, "doc", "sure")
