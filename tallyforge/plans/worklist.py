@@ -29,8 +29,8 @@ def worklist_page(spark, d):
 def worklist_search(spark, d):
     found = W.search(R.invoices(spark, d).where("status = 'exported'").withColumn("supplier", F.col("supplier_id").cast("string")), "199_0", "supplier", "number")
     # one row, so every match can carry it
-    n = found.agg(F.count("*").alias("matches"))
-    return found.select("id", "number", "supplier_id").join(F.broadcast(n))
+    n = found.agg(F.first(F.lit("exported")).alias("status"), F.count("*").alias("matches"))
+    return found.join(F.broadcast(n), "status").select("id", "number", "supplier_id", "matches")
 
 
 @query("status_counts_zero_filled", R.with_("inv") + " SELECT s.status, count(inv.id) AS n FROM (VALUES ('queued'), ('processing'), ('needs_review'), ('ready'), ('exported'), ('failed')) s(status) LEFT JOIN inv USING (status) GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM inv")
