@@ -118,14 +118,14 @@ def _attributed(df):
 
 @query("fuzzy_topk")
 def fuzzy_topk(spark, d):
-    own = M.ranked(_attributed(lines(spark, d)), _attributed(items(spark, d)), 8)
+    own = M.ranked(_attributed(lines(spark, d)), _attributed(items(spark, d)))
     return own.where("rank <= 5").select("line_id", "rank", "item_key", "raw", "score", "exact", "conflict", "unknown")
 
 
 @query("match_decisions")
 def match_decisions(spark, d):
     own = lines(spark, d)
-    return M.decide(M.ranked(_attributed(own), _attributed(items(spark, d)), 8), own)
+    return M.decide(M.ranked(_attributed(own), _attributed(items(spark, d))), own)
 
 
 @query("duplicate_row_collapse", BASE + """, c AS (SELECT rms_item_id AS line_id, rms_item_id, item_key, unit_cost, uom, CASE WHEN rms_item_id % 3 = 0 THEN upc WHEN supplier_id % 2 = 0 THEN 'U' END AS upc, row_number() OVER (PARTITION BY rms_item_id ORDER BY item_key) AS rank FROM cn),

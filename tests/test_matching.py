@@ -61,3 +61,32 @@ def test_unit_states(spark):
     a, b = ({c: F.col(f"{s}_{c}") for c in ("sizes", "packs", "shades", "uom")} for s in "ab")
     got = spark.createDataFrame(rows, kinds).select("want", unit_state(a, b).alias("got")).collect()
     assert all(r.want == r.got for r in got), got
+
+
+def test_registered_matching_equals_brute_force(spark, monkeypatch):
+    from tallyforge.functions.unicode import similarity
+    from tallyforge.plans import matching as plans
+
+    # the nearest text shares no word with the line; more than eight others share one
+    texts = ["hydratin cleansers gentl", *[f"hydrating {w} {w}s" for w in "soap balm mask foam milk tonic serum cream lotion powder scrub wipe".split()], *[f"cleanser {i} gentle extra" for i in range(12)]]
+    items = [(f"k{i:02}", i, 1, t, None) for i, t in enumerate(texts)] + [("other", 99, 2, "hydrating cleanser gentle", None)]
+    lines = [("a", 1, "hydrating cleanser gentle", None), ("b", 1, "hydrating soap", None), ("c", 1, "zzz", None)]
+    monkeypatch.setattr(plans, "items", lambda s, d: s.createDataFrame(items, "item_key string, rms_item_id long, supplier_id long, norm string, uom string"))
+    monkeypatch.setattr(plans, "lines", lambda s, d: s.createDataFrame(lines, "line_id string, supplier_id long, norm string, uom string"))
+    best = {line: sorted((-similarity(text, t), i) for i, t in enumerate(texts))[:5] for line, _, text, _ in lines}
+    got = {}
+    for r in plans.fuzzy_topk(spark, "").orderBy("line_id", "rank").collect():
+        got.setdefault(r.line_id, []).append((-r.raw, int(r.item_key[1:])))
+    assert got == best and got["a"][0][1] == 0
+    made = {r.line_id: r for r in plans.match_decisions(spark, "").collect()}
+    assert all(made[x].confidence == -b[0][0] and made[x].margin == round(b[1][0] - b[0][0], 1) for x, b in best.items()), made
+    assert made["a"].suggestion == "k00"
+
+
+def test_large_scopes_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 3)
+    items = [(f"k{i}", "S", f"tea {i}") for i in range(4)] + [(f"t{i}", "T", f"tea {i}") for i in range(3)]
+    its = spark.createDataFrame(items, "item_key string, supplier_id string, norm string")
+    ls = spark.createDataFrame([("a", "S", "tea 1"), ("b", "T", "tea 1"), ("c", "T", "zzz")], "line_id string, supplier_id string, norm string")
+    got = sorted((r.line_id, r.item_key) for r in M.compared(ls, its, 1).collect())
+    assert got == [("a", "k1"), ("b", "t0"), ("b", "t1"), ("b", "t2"), ("c", "t0"), ("c", "t1"), ("c", "t2")]
