@@ -29,7 +29,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SECRET = re.compile(r"\b(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?([A-Za-z0-9_+/=.-]{8,200})", re.I)
+SECRET = re.compile(r"\b(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b[\"']?[ \t]{0,4}(?:=|:)[ \t]{0,4}[\"']?([A-Za-z0-9_+/=.-]{8,}+)", re.I)
 CUE = re.compile(r"=|:")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")

@@ -102,6 +102,16 @@ def test_added_spans(spark):
     assert "1f3870be" not in personal_data.redact(docs).where("doc_id = 0").collect()[0].text
 
 
+def test_long_secrets(spark):
+    secret = "".join(random.Random(n).choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for n in range(500))
+    text = f"set password={secret} and go on"
+    at = text.index(secret)
+    assert [x[:3] for x in personal_data.candidates(text)] == [(at, at + 500, "secret")]
+    docs = spark.createDataFrame([(i, text) for i in range(30)], "doc_id long, text string")
+    assert {r.spans for r in personal_data.find_personal_data(docs).collect()} == {f"secret:{at}:{at + 500}"}
+    assert {r.text for r in personal_data.redact(docs).collect()} == {"set password=[SECRET] and go on"}
+
+
 def test_reliabilities():
     votes, given = personal_data.estimate({("card", "++++++"): 90, ("card", "-----0"): 80, ("card", "-+++++"): 20, ("card", "+-----"): 10})
     assert votes["card", "++++++"] > 0.9 > 0.1 > votes["card", "-----0"] and given.shape == (6, 2, 3)
