@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,39 +23,55 @@ SIZE = 1 << 18
 BETA, COST, ROUNDS = 0.25, 1.0, 15
 THRESHOLD = 0.3
 REMEMBER = 150_000
+#: Signs from which a token is read by its n-grams too (texts without blanks), and signs of such an n-gram.
+LONG, GRAM = 64, 3
 RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
-def shape(token: str) -> str:
-    """What a token looks like: runs of letters as x, X or Xx, runs of digits as 9, signs as themselves."""
+def shapes(token: str) -> list[str]:
+    """What a whole token looks like, eight runs at a time: runs of letters as x, X or Xx, runs of digits as 9, signs as themselves."""
     out = []
-    for run in RUNS.findall(token[:64]):
+    for run in RUNS.findall(token):
         c = run[0]
         kind = ("X" if run.isupper() and len(run) > 1 else "Xx" if c.isupper() else "x") if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
-    return "".join(out[:8])
+    return ["".join(out[i : i + 8]) for i in range(0, len(out), 8)] or [""]
+
+
+def _shape_feature(s: str) -> int:
+    return zlib.crc32(b"\x00shape" + s.encode()) % SIZE
 
 
 class Tokens(dict):
-    """token -> feature of its shape (above bit 20) and of its word, remembered."""
+    """token -> feature of its first shape (above bit 20) and of its word, remembered; bit 40 marks tokens that rest() has more of."""
 
     def __missing__(self, token):
-        s = shape(token)
-        pair = (zlib.crc32(b"\x00shape" + s.encode()) % SIZE) << 20 | zlib.crc32(token.lower().encode()) % SIZE
-        if len(token) <= 64:
+        first, *more = shapes(token)
+        pair = bool(more or len(token) > LONG) << 40 | _shape_feature(first) << 20 | zlib.crc32(token.lower().encode()) % SIZE
+        if len(token) <= LONG:
             if len(self) >= REMEMBER:
                 self.clear()
             self[token] = pair
         return pair
 
 
+def rest(token: str) -> set[int]:
+    """Features of a token beyond those of its first shape and its word: its other shapes, pairs of its neighbouring shapes, and the n-grams of a long one."""
+    every = [_shape_feature(s) for s in shapes(token)]
+    out = set(every[1:]) | {(a * 31 + b * 17 + 7) % SIZE for a, b in pairwise(every)}
+    if len(token) > LONG:
+        low = token.lower()
+        out |= {zlib.crc32(b"\x00gram" + g.encode("utf-8", "surrogatepass")) % SIZE for g in {low[i : i + GRAM] for i in range(len(low) - GRAM + 1)}}
+    return out
+
+
 def level(share: float) -> int:
     return min(7, int(share * 16)) if share > 0 else -1
 
 
 def features(text: str | None, tokens: Tokens) -> np.ndarray:
-    """Features of a whole text, sorted: its words, shapes, pairs of neighbouring shapes, and how much of it repeats.
+    """Features of a whole text, sorted: its words, shapes, pairs of neighbouring shapes, n-grams of long tokens, and how much of it repeats.
 
     A null or empty text has the one feature of having no words.
     """
@@ -62,8 +79,9 @@ def features(text: str | None, tokens: Tokens) -> np.ndarray:
     if not found:
         return np.array([zlib.crc32(b"\x00none") % SIZE])
     pairs = np.fromiter(map(tokens.__getitem__, found), np.int64, len(found))
-    shapes, words = pairs >> 20, np.unique(pairs & 0xFFFFF)
-    both = (shapes[:-1] * 31 + shapes[1:] * 17 + 7) % SIZE
+    first, words = pairs >> 20 & 0xFFFFF, np.unique(pairs & 0xFFFFF)
+    both = (first[:-1] * 31 + first[1:] * 17 + 7) % SIZE
+    more = set().union(*map(rest, {found[i] for i in np.flatnonzero(pairs >> 40)}))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     n, kinds = len(found), len(words)
     whole = [
@@ -72,7 +90,7 @@ def features(text: str | None, tokens: Tokens) -> np.ndarray:
         f"kinds{level(1 - kinds / n) if n >= 20 else 'few'}",
         f"signs{level(sum(map(text.count, '#*$%&|<>!')) / len(text) * 4)}",
     ]
-    return np.unique(np.concatenate([words, np.unique(shapes), np.unique(both), [zlib.crc32(f"\x00{w}".encode()) % SIZE for w in whole]]))
+    return np.unique(np.concatenate([words, np.unique(first), np.unique(both), np.fromiter(more, np.int64, len(more)), [zlib.crc32(f"\x00{w}".encode()) % SIZE for w in whole]]))
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:

@@ -34,6 +34,18 @@ def test_quality(docs, labels, texts):
     assert all(got[i].predicted == int("%%%" not in t) for i, (t, _) in enumerate(texts) if i % 5 == 0)
 
 
+def test_quality_reads_long_tokens_whole():
+    r, tokens = random.Random(6), quality.Tokens()
+    start = "天地玄黄宇宙洪荒日月盈昃" * 8  # 96 signs without a blank, the same in all texts
+    text = lambda good: start + "".join(r.choice("春夏秋冬山水花鳥風雪" if good else "甲乙丙丁戊己庚辛壬癸") for _ in range(200))
+    model = quality.fit([quality.features(text(i % 2), tokens) for i in range(60)], [i % 2 for i in range(60)])
+    p = [quality.probability(model, quality.features(text(i % 2), tokens)) for i in range(40)]
+    assert min(p[1::2]) > 0.5 > max(p[::2])
+    # runs beyond the eighth and the 64th sign count, in shorter tokens as in longer ones
+    assert quality.shapes("a1" * 5 + "#") == ["x9x9x9x9", "x9#"] and quality.shapes("a" * 70 + "9")[0] == "x9"
+    assert len(np.setdiff1d(quality.features("a1" * 5 + "#", tokens), quality.features("a1" * 5, tokens)))
+
+
 def test_descent_finds_the_margin():
     rows = [np.array([0]), np.array([1])] * 4
     w, bias = quality.descend(rows, [np.ones(1)] * 8, np.array([1.0, -1.0] * 4), np.full(8, 10.0), 200)
