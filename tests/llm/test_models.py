@@ -28,6 +28,15 @@ def test_language(docs, texts):
     assert np.allclose(e, e2) and n.tolist() == n2.tolist()
 
 
+def test_language_keeps_all_n_grams(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(language, "MOST_GRAMS", 100, raising=False)
+    small = spark.createDataFrame([("zażółć gęślą jaźń", "pl", 0, 1), ("ďábelské ódy", "cs", 1, 2)], "text string, lang string, part int, key long")
+    model = language.train(docs.select("text", "lang", (F.col("doc_id") % 3 == 1).cast("int").alias("part"), F.xxhash64("doc_id").alias("key")).unionByName(small))
+    assert model.langs == ["cs", "de", "en", "fr", "pl"] and len(model.ready["floor"]) == 5
+    want = np.unique(language.grams([t for t, _ in texts] + ["zażółć gęślą jaźń", "ďábelské ódy"])[0])
+    assert np.array_equal(np.sort(model.levels[-1].keys), np.sort(language.mixed(want)))
+
+
 def test_quality(docs, labels, texts):
     model = quality.train(docs, labels.where("doc_id % 5 <> 0"))
     got = {r.doc_id: r for r in quality.score(docs, model).collect()}
