@@ -17,9 +17,9 @@ import regex
 #: Pattern of the byte-level pre-tokenizer, a fixed value of the vocabulary file's format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUN = regex.compile(r"\s+").match
-#: Entries after which a worker's memory of pieces starts anew; it only saves time.
-REMEMBER = 300_000
-LONG = 64
+#: What a worker remembers, which only saves time: so many words for good (the first it meets, which are the common ones), so many for now, so many pairs of tokens, and so many starts of pieces, each of HEAD bytes.
+FIRST, LATER, PAIRS, HEADS = 100_000, 50_000, 200_000, 30_000
+LONG, HEAD = 64, 5
 #: A word and the signs behind it, which are two pieces.
 SIGNED = re.compile(r"([^\W\d_]+)([^\w\s]+)").fullmatch
 
@@ -36,30 +36,43 @@ class _NotAlone(Exception):
 
 
 class Words(dict):
-    """word -> value of ' ' + word, remembered: one(piece) if that is a piece, else many(text)."""
+    """word -> value of ' ' + word, remembered: one(piece) if that is a piece, else many(text).
 
-    def __init__(self, one, many):
+    The dictionary itself holds the first words, later those that came after;
+    when later is full it starts anew, so the common words are never lost and
+    a worker's memory has a bound of some 35 MB.
+    """
+
+    def __init__(self, one, many, signed=None):
         super().__init__()
-        self.one, self.many, self.signs = one, many, {}
+        self.one, self.many, self.signed = one, many, signed or one
+        self.signs: dict = {}
+        self.later: dict = {}
 
     def __missing__(self, word):
+        value = self.later.get(word)
+        if value is not None:
+            return value
         if word.isalpha():
             value = self.one(" " + word)
         elif (parts := SIGNED(word)) and parts[1].isalpha():
             stem, signs = parts.groups()
             if signs not in self.signs:
-                if len(signs) > LONG or len(self.signs) > REMEMBER // 10:
-                    return self[stem] + self.one(signs)
-                self.signs[signs] = self.one(signs)
+                if len(signs) > LONG or len(self.signs) > LATER // 10:
+                    return self[stem] + self.signed(signs)
+                self.signs[signs] = self.signed(signs)
             value = self[stem] + self.signs[signs]
         elif not word or word[0].isspace() or word[-1].isspace():
             raise _NotAlone
         else:
             value = self.many(" " + word)
         if len(word) <= LONG:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[word] = value
+            if len(self) < FIRST:
+                self[word] = value
+            else:
+                if len(self.later) >= LATER:
+                    self.later.clear()
+                self.later[word] = value
         return value
 
 
@@ -82,10 +95,9 @@ class Bpe:
         self.core = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split if self.special else lambda s: [s]
-        self.longest = max(map(len, self.ranks))
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, list[int]] = {}
         self.words = Words(lambda s: self.pack(self.core.encode_single_piece(s.encode())), lambda s: self.pack(self.core.encode_ordinary(s)))
         self.totals = Words(self.size, lambda s: sum(map(self.size, self.find(s))))
 
@@ -113,12 +125,10 @@ class Bpe:
 
     # -- prefix counts -----------------------------------------------------
     def fits(self, left: int, right: int) -> bool:
-        """Whether two tokens stay two tokens side by side."""
-        known = self.pairs.get(left << 20 | right)
-        if known is None:
-            if len(self.pairs) >= REMEMBER:
-                self.pairs.clear()
-            known = self.pairs[left << 20 | right] = self.core.encode_single_piece(self.tokens[left] + self.tokens[right]) == [left, right]
+        """Whether two tokens stay two tokens side by side; remembered."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 20 | right] = self.core.encode_single_piece(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
     def prefixes(self, piece: bytes) -> list[int]:
@@ -127,30 +137,43 @@ class Bpe:
         The encoding of a prefix ends in exactly one token, and what stands
         before that token is the encoding of a shorter prefix.  So the last
         token is the one that reaches back to a prefix whose own last token
-        it doesn't merge with.  Entries are remembered by prefix, as pieces
-        share them.
+        it doesn't merge with.  The entries of a piece's first bytes are
+        remembered, as pieces share them.
         """
-        known, ranks, out = self.known, self.ranks, [0]
-        if len(known) >= REMEMBER:
-            known.clear()
-        for end in range(1, len(piece) + 1):
-            state = known.get(piece[:end]) if end <= LONG else None
-            if state is None:
-                for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                    token = ranks.get(piece[start:end])
-                    if token is not None and (not start or self.fits(out[start] & 0xFFFFF, token)):
-                        state = ((out[start] >> 20) + 1) << 20 | token
+        head = piece[:HEAD]
+        known = self.known.get(head)
+        if known is None:
+            known = self._extended([0], head)
+            if len(self.known) >= HEADS:
+                self.known.clear()
+            self.known[head] = known
+        return known if len(piece) <= HEAD else self._extended(known[:], piece)
+
+    def _extended(self, out: list[int], piece: bytes) -> list[int]:
+        """out, the entries of a start of piece, with those of the rest."""
+        ranks, pairs, fits = self.ranks.get, self.pairs.get, self.fits
+        for end in range(len(out), len(piece) + 1):
+            start = end - 1
+            while True:
+                token = ranks(piece[start:end])
+                if token is not None:
+                    if not start:
+                        out.append(1 << 20 | token)
+                        break
+                    left = out[start]
+                    last = left & 0xFFFFF
+                    stay = pairs(last << 20 | token)
+                    if stay is None:
+                        stay = fits(last, token)
+                    if stay:
+                        out.append((left >> 20) + 1 << 20 | token)
                         break
-                if end <= LONG:
-                    known[piece[:end]] = state
-            out.append(state)
+                start -= 1
         return out
 
     def size(self, piece: str) -> int:
         """Token count of a whole piece."""
-        raw = piece.encode()
-        state = self.known.get(raw) if len(raw) <= LONG else None
-        return (state if state is not None else self.prefixes(raw)[-1]) >> 20
+        return self.prefixes(piece.encode())[-1] >> 20
 
     def table(self, piece: str) -> list[int]:
         """Token counts of a piece's prefixes, one for each number of characters."""
