@@ -22,8 +22,6 @@ from tallyforge.llm.token_counts import vocabulary
 
 SIZE = 1024
 END = 2
-#: Exchanges of the local search, each on all bins of two patterns; beyond that the plan stays as it is, valid but perhaps not the best.
-STEPS = 20_000
 
 Pattern = tuple[int, ...]
 
@@ -55,13 +53,14 @@ def best_fit(lengths: dict[int, int], size: int = SIZE) -> Counter[Pattern]:
     return Counter({p: n for patterns in room.values() for p, n in patterns.items()})
 
 
-def improve(bins: Counter[Pattern], size: int = SIZE, steps: int = STEPS) -> Counter[Pattern]:
+def improve(bins: Counter[Pattern], size: int = SIZE) -> Counter[Pattern]:
     """Local search: move a document, or exchange one for one, two for one or one for two, between underfull bins.
 
     Each step takes tokens out of an emptier bin and into a fuller one, which
-    increases the sum of squared fills, until bins are empty and go.  It ends
-    when no step helps, when the bins are as few as their tokens allow, or
-    after ``steps`` steps.
+    increases the sum of squared fills, until bins are empty and go.  As that
+    sum has a bound, the search ends: when no step helps, or when the bins are
+    as few as their tokens allow.  A step is taken for all bins of its two
+    patterns at once.
     """
     bins = Counter({p: n for p, n in bins.items() if n})
     tokens = sum(sum(p) * n for p, n in bins.items())
@@ -70,7 +69,7 @@ def improve(bins: Counter[Pattern], size: int = SIZE, steps: int = STEPS) -> Cou
     stuck: set[Pattern] = set()
     moved = False
     open_bins = {p for p in bins if sum(p) < size}
-    while steps and count > fewest:
+    while count > fewest:
         source = min((p for p in open_bins if p not in stuck), key=lambda p: (sum(p), p), default=None)
         if source is None:
             if not moved:
@@ -81,7 +80,7 @@ def improve(bins: Counter[Pattern], size: int = SIZE, steps: int = STEPS) -> Cou
         if found is None:
             stuck.add(source)
             continue
-        steps, moved = steps - 1, True
+        moved = True
         target, out, back = found
         times = min(bins[source], bins[target]) if target != source else bins[source] // 2
         new_source, new_target = _swap(source, out, back), _swap(target, back, out)
