@@ -11,7 +11,9 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from operator import sub
 
+import numpy as np
 import regex
 
 #: Pattern of the byte-level pre-tokenizer, a fixed value of the vocabulary file's format.
@@ -100,6 +102,7 @@ class Bpe:
         self.known: dict[bytes, list[int]] = {}
         self.words = Words(lambda s: self.pack(self.core.encode_single_piece(s.encode())), lambda s: self.pack(self.core.encode_ordinary(s)))
         self.totals = Words(self.size, lambda s: sum(map(self.size, self.find(s))))
+        self.steps_of = Words(self._piece_steps, lambda s: self._steps(self._plain_prefixes(s)))
 
     @staticmethod
     def pack(ids) -> bytes:
@@ -215,6 +218,35 @@ class Bpe:
                 out += [base + x for x in self._plain_prefixes(part)[1:]]
         return out
 
+    @staticmethod
+    def _steps(counts: list[int]) -> bytes:
+        return array("b", map(sub, counts[1:], counts)).tobytes()
+
+    def _piece_steps(self, piece: str) -> bytes:
+        if piece.isascii():
+            states = self.prefixes(piece.encode())
+            return array("b", [(b >> 20) - (a >> 20) for a, b in zip(states, states[1:])]).tobytes()
+        return self._steps(self.table(piece))
+
+    def steps(self, text: str) -> bytes:
+        """The table of prefix counts as differences, a signed byte for each character: the count of text[:i] is the sum of the first i.
+
+        No step leaves a byte's range: one more character adds a token for
+        each of its bytes at most, and what it can merge away are the tokens
+        of one entry of the vocabulary; should a vocabulary have an entry that
+        long, this raises OverflowError.
+        """
+        if not text:
+            return b""
+        if not (self.special and any(s in text for s in self.special)):
+            first, *rest = text.split(" ")
+            if first and not first[-1].isspace():
+                try:
+                    return self._steps(self._plain_prefixes(first)) + b"".join(map(self.steps_of.__getitem__, rest))
+                except _NotAlone:
+                    pass
+        return self._steps(self.prefix_counts(text))
+
     def _plain_prefixes(self, text: str) -> list[int]:
         out, base, run = [0], 0, None
         for piece in self.find(text):
@@ -238,21 +270,19 @@ class Bpe:
 
     def fit(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of at most budget tokens."""
-        first, *rest = text.split(" ")
-        if not (self.special and any(s in text for s in self.special)) and first and not first[-1].isspace():
-            try:
-                used, at = sum(self.size(p) for p in self.find(first)), len(first)
-                if used <= budget:
-                    for word in rest:
-                        more = self.totals[word]
-                        if used + more > budget:
-                            inside = self._plain_prefixes(" " + word)
-                            return at + max(i for i, x in enumerate(inside) if used + x <= budget)
-                        used, at = used + more, at + 1 + len(word)
-                    return at
-            except _NotAlone:
-                pass
-        return max(i for i, x in enumerate(self.prefix_counts(text)) if x <= budget)
+        return fit(self.steps(text), budget)
+
+
+def counts(steps: bytes) -> np.ndarray:
+    """Token count of every prefix, the empty one first, from its differences."""
+    out = np.zeros(len(steps) + 1, np.int64)
+    np.cumsum(np.frombuffer(steps, np.int8), out=out[1:], dtype=np.int64)
+    return out
+
+
+def fit(steps: bytes, budget: int) -> int:
+    """Characters of the longest prefix of at most budget tokens (-1: not even the empty one); found from the end, so that a long text is summed once."""
+    return int(np.flatnonzero(counts(steps) <= budget)[-1]) if budget >= 0 else -1
 
 
 @lru_cache(maxsize=2)
