@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,23 @@ def boxed(docs: DataFrame, **columns) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(k) for k, c in columns.items()])
 
 
+def two_hashes(*columns) -> tuple:
+    """128 bits that tell rows of columns apart, as two columns of 64."""
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *reversed(columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one in the working directory's store where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local master gets one on its machine; with any other
+    master it must be set, as executors don't see each other's folders.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/checkpoints/tallyforge"
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[0-9*,]+\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
+        at = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 

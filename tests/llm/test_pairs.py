@@ -1,5 +1,8 @@
 """Near-duplicates, passages and decontamination against brute force."""
 
+import random
+from collections import Counter
+
 import numpy as np
 
 from tallyforge.llm import decontamination, jaccard_join, substring_dedup
@@ -107,30 +110,66 @@ def hits(text, items, window=10):
     for item, t in items:
         q = words(t)
         k = min(window, len(q))
-        for s in range(len(q) - k + 1) if k and item is not None else []:
+        for s in range(len(q) - k + 1) if k else []:
             for i in range(len(w) - k + 1):
                 if w[i : i + k] == q[s : s + k]:
                     at |= set(range(i, i + k))
-                    found.add(item)
+                    found |= {item} - {None}
     return len(at), len(found)
 
 
-def test_decontamination(docs, texts, benchmark):
-    items = [(r.item_id, r.text) for r in benchmark.collect()]
-    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.contamination(docs, benchmark).collect()}
-    assert got == {i: hits(t, items) for i, (t, _) in enumerate(texts)} and got[0][0] >= 15
-    assert {r.doc_id for r in decontamination.clean(docs, benchmark).collect()} == {i for i in got if not got[i][0]}
+def near(texts, items, rare=3, within=30):
+    """Items that each text comes near, plainly."""
+    all_words = [words(t) for t in texts]
+    n = Counter(x for w in all_words for x in w)
+    out = [set() for _ in texts]
+    for item, t in items:
+        chosen = sorted((x for x in set(words(t)) if n[x]), key=lambda x: (n[x], x))[:rare]
+        for i, w in enumerate(all_words):
+            if len(chosen) > 1 and item is not None and any(set(chosen) <= set(w[k : k + within]) for k in range(len(w))):
+                out[i].add(str(item))
+    return out
 
 
-def test_blocks_of_test_items(docs, benchmark, monkeypatch):
+def test_decontamination(docs, texts, benchmark):
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    got = {r.doc_id: r for r in decontamination.contamination(docs, benchmark).collect()}
+    assert {i: (r.n_hit, r.n_items) for i, r in got.items()} == {i: hits(t, items) for i, (t, _) in enumerate(texts)} and got[0].n_hit >= 15
+    assert [set(filter(None, got[i].near_items.split(","))) for i in range(len(texts))] == near([t for t, _ in texts], items)
+    assert any(r.n_near for r in got.values()) and all(r.contaminated == (r.n_hit > 0) for r in got.values())
+    assert {r.doc_id for r in decontamination.clean(docs, benchmark).collect()} == {i for i in got if not got[i].n_hit}
+
+
+def test_items_of_every_length(spark, texts):
+    """Many items that overlap, of one word to all of a text, beside brute force."""
+    r = random.Random(8)
+    items = [(9, texts[1][0])]
+    for k in range(30):
+        w = words(r.choice(texts)[0])
+        n, at = r.choice((1, 2, 5, 9, 10, 11, 12, 30)), r.randrange(len(w))
+        items.append((r.choice((k, None)), " ".join(w[at : at + n])))
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    rows += [(500, " ".join(["the"] * 40)), (501, " ".join(texts[1][0].split()[:25] * 3))]
+    items += [(70, "the " * 12), (71, "the the")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontamination.contamination(docs, benchmark).collect()}
+    assert got == {i: hits(t, items) for i, t in rows}
+
+
+def test_large_tests_are_joined_by_shuffles(docs, benchmark, monkeypatch):
     whole = {tuple(r) for r in decontamination.contamination(docs, benchmark).collect()}
-    monkeypatch.setattr(decontamination.blocks, "__defaults__", (4,))
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 4)
+    monkeypatch.setattr(decontamination, "BROADCAST_TEXTS", 0)
     assert {tuple(r) for r in decontamination.contamination(docs, benchmark).collect()} == whole
 
 
+def test_no_python_on_the_main_path(docs, benchmark):
+    plan = decontamination.contamination(docs, benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 50 + "beta gamma"), (3, "gamma beta alpha")], "doc_id long, text string")
-    items = decontamination.blocks(spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string"))[0]
-    worded = decontamination.with_words(docs)
-    found = {r.rid for r in decontamination.proximity_matches(worded, items, 3, 10).collect()}
-    assert found == {r.rid for r in worded.where("doc_id in (1, 3)").collect()}
+    index = decontamination.build(docs, spark.createDataFrame([(9, "alpha beta gamma"), (8, "gamma"), (9, "alpha beta gamma")], "item_id long, text string"))
+    found = decontamination.proximity_matches(index, 3, 10).join(index.texts, "rid").collect()
+    assert sorted((r.doc_id, r.item_id, r.first, r.last) for r in found) == [(1, 9, 0, 5), (3, 9, 0, 2)]
