@@ -17,8 +17,8 @@ from tallyforge.llm.common import fold, table
 
 #: Labelled rows of each class that the model is fitted on, about.
 ROWS = 2_000
-#: Features that hashing leaves apart.
-SIZE = 1 << 18
+#: Features that hashing leaves apart (2^20 at most, as tokens are remembered as pairs of 20 bits).
+SIZE = 1 << 20
 #: Share of the machine's own weights, cost of a hinge, rounds of descent.
 BETA, COST, ROUNDS = 0.25, 1.0, 15
 THRESHOLD = 0.3
@@ -71,15 +71,20 @@ def level(share: float) -> int:
 
 
 def features(text: str | None, tokens: Tokens) -> np.ndarray:
-    """Features of a whole text, sorted: its words, shapes, pairs of neighbouring shapes, n-grams of long tokens, and how much of it repeats.
+    """Features of a whole text, sorted.
 
-    A null or empty text has the one feature of having no words.
+    N-gram indicators: its words and pairs of neighbouring words, and the
+    character n-grams of long tokens.  Beside them, made by hand: shapes of
+    tokens, pairs of neighbouring shapes, and levels of length, of repeated
+    lines and words and of signs.  A null or empty text has the one feature of
+    having no words.
     """
     found = (text or "").split()
     if not found:
         return np.array([zlib.crc32(b"\x00none") % SIZE])
     pairs = np.fromiter(map(tokens.__getitem__, found), np.int64, len(found))
-    first, words = pairs >> 20 & 0xFFFFF, np.unique(pairs & 0xFFFFF)
+    first, each = pairs >> 20 & 0xFFFFF, pairs & 0xFFFFF
+    words, two = np.unique(each), (each[:-1] * 1_000_003 + each[1:] * 7_919 + 11) % SIZE
     both = (first[:-1] * 31 + first[1:] * 17 + 7) % SIZE
     more = set().union(*map(rest, {found[i] for i in np.flatnonzero(pairs >> 40)}))
     lines = [x for x in text.split("\n") if x and not x.isspace()]
@@ -90,7 +95,7 @@ def features(text: str | None, tokens: Tokens) -> np.ndarray:
         f"kinds{level(1 - kinds / n) if n >= 20 else 'few'}",
         f"signs{level(sum(map(text.count, '#*$%&|<>!')) / len(text) * 4)}",
     ]
-    return np.unique(np.concatenate([words, np.unique(first), np.unique(both), np.fromiter(more, np.int64, len(more)), [zlib.crc32(f"\x00{w}".encode()) % SIZE for w in whole]]))
+    return np.unique(np.concatenate([words, two, np.unique(first), both, np.fromiter(more, np.int64, len(more)), [zlib.crc32(f"\x00{w}".encode()) % SIZE for w in whole]]))
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
