@@ -3,8 +3,10 @@
 Candidates come from patterns.  Six labelers vote on each (format, checksum,
 gazetteer, context, shape, surroundings); the votes of all documents are
 counted by pattern of votes; expectation-maximisation estimates how reliable
-each labeler is, and a logistic model learns from the estimated labels.  The
-model decides which candidates beyond the contract's four kinds are added.
+each labeler is.  A logistic classifier then learns the estimated labels from
+what spans look like and the words around them, on a bounded sample of spans
+of each pattern, weighted by how many there are.  It decides which candidates
+beyond the contract's four kinds are added.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -52,6 +55,11 @@ ACCOUNTS = frozenset("AT BE CH DE DK ES FI FR GB IE IT LU NL NO PL PT SE".split(
 LABELERS = ("format", "checksum", "gazetteer", "context", "shape", "surroundings")
 #: Probability from which a candidate beyond the base is taken.
 TAKE = 0.8
+#: Spans of each pattern of votes that the classifier learns from, about; features that hashing leaves apart.
+SAMPLE, SIZE = 400, 1 << 14
+#: Rounds of descent, decay of weights, most that a span weighs against the mean.
+ROUNDS, DECAY, HEAVY = 200, 1e-5, 10
+AROUND = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -186,56 +194,71 @@ def estimate(counts: dict[tuple[str, str], int], rounds: int = 60):
     return dict(zip(keys, p.tolist(), strict=True)), given
 
 
-def features(kind: str, cast: str) -> list[int]:
-    return [0, 1 + KINDS.index(kind), *(1 + len(KINDS) + 3 * j + "-0+".index(c) for j, c in enumerate(cast))]
+def _share(n: int, total: int) -> int:
+    return min(4, 5 * n // total) if total else 0
 
 
-def learn(counts: dict[tuple[str, str], int]) -> dict:
-    """The span classifier: logistic regression on the estimated labels of all places, by Newton's method."""
+def features(text: str, start: int, end: int, kind: str, cast: str) -> list[int]:
+    """Hashed features of a span, each with its kind: the labelers' votes, its length, signs and their neighbours, and the words and signs around it."""
+    span, before, after = text[start:end], text[max(0, start - LOOK) : start], text[end : end + LOOK]
+    classes = "".join("9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else " " if c.isspace() else c for c in span)
+    n = len(span)
+    out = {"", f"long{n.bit_length()}", f"digits{_share(classes.count('9'), n)}", f"upper{_share(classes.count('X'), n)}", f"kinds{_share(len(set(span)), n)}"}
+    out |= {f"vote{j}{c}" for j, c in enumerate(cast)}
+    out |= {f"pair{x}" for x in {classes[i : i + 2] for i in range(n - 1)}}
+    out |= {f"before {w}" for w in AROUND.findall(before.lower())[-3:]} | {f"after {w}" for w in AROUND.findall(after.lower())[:2]}
+    out |= {f"left{before[-1:]}", f"right{after[:1]}"}
+    return [zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % SIZE for x in out]
+
+
+def learn(counts: dict[tuple[str, str], int], sample: list[tuple[str, str, list[int]]]) -> dict:
+    """The span classifier: logistic regression of the estimated labels on the features of sampled spans (kind, votes, features).
+
+    A sampled span weighs as many as its pattern has for each sampled one, at
+    most HEAVY times the mean.  Patterns are few and spans many, so that
+    features of the span and of the words around decide where votes are split.
+    """
     labels, given = estimate(counts)
-    size = 1 + len(KINDS) + 3 * len(LABELERS)
-    weights = np.zeros(size)
-    if labels:
-        keys = sorted(labels)
-        x = np.zeros((len(keys), size))
-        for i, k in enumerate(keys):
-            x[i, features(*k)] = 1
-        y = np.array([labels[k] for k in keys])
-        n = np.array([counts[k] for k in keys], float)
-        n *= len(n) / n.sum() * 10
-        for _ in range(30):
-            q = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            slope = x.T @ (n * (y - q)) - 0.05 * weights
-            bend = (x * (n * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(size)
-            weights = weights + np.linalg.solve(bend, slope)
-    return {"weights": weights.tolist(), "given": given.tolist()}
-
-
-def probability(model: dict, kind: str, cast: str) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(model["weights"][i] for i in features(kind, cast))))))
-
-
-def spans(text: str | None, model: dict, known: dict | None = None) -> list[tuple[int, int, str]]:
+    weights = np.zeros(SIZE + 1)
+    rows = sorted((k, v, sorted(x)) for k, v, x in sample if (k, v) in labels)
+    if rows:
+        taken = Counter((k, v) for k, v, _ in rows)
+        most = max(len(x) for _, _, x in rows)
+        x = np.full((len(rows), most), SIZE)
+        for i, (_, _, own) in enumerate(rows):
+            x[i, : len(own)] = own
+        y = np.array([labels[k, v] for k, v, _ in rows])
+        n = np.array([counts[k, v] / taken[k, v] for k, v, _ in rows])
+        n = np.minimum(n / n.mean(), HEAVY)
+        n /= n.sum()
+        squares = np.full(SIZE + 1, 1e-8)
+        for _ in range(ROUNDS):
+            q = 1 / (1 + np.exp(-np.clip(weights[x].sum(1), -30, 30)))
+            slope = np.bincount(x.ravel(), np.repeat(n * (q - y), most), SIZE + 1) + DECAY * weights
+            slope[SIZE] = 0
+            squares += slope * slope
+            weights -= 0.5 * slope / np.sqrt(squares)
+    return {"weights": weights[:SIZE].astype(np.float32), "given": given.tolist()}
+
+
+def probability(model: dict, x: list[int]) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(model["weights"][x].sum())))))
+
+
+def spans(text: str | None, model: dict) -> list[tuple[int, int, str]]:
     """All spans of a text: those of the base, and candidates that the model takes and that don't overlap what is taken already."""
     if not text:
         return []
     found = candidates(text)
     taken = [(s, e, k) for s, e, k, ok in found if ok]
-    rest = [(s, e, k) for s, e, k, ok in found if not ok]
-    if rest:
-        known = {} if known is None else known
-        scored = []
-        for s, e, k in rest:
-            cast = votes(text, s, e, k, False)
-            if (k, cast) not in known:
-                known[k, cast] = probability(model, k, cast)
-            if known[k, cast] >= TAKE:
-                scored.append((-known[k, cast], s, e, k))
-        more: list[tuple[int, int, str]] = []
-        for _, s, e, k in sorted(scored):
-            more.append((s, e, k))
-        if more:
-            taken += _apart(taken, more)
+    scored = []
+    for s, e, k, ok in found:
+        if not ok:
+            p = probability(model, features(text, s, e, k, votes(text, s, e, k, False)))
+            if p >= TAKE:
+                scored.append((-p, s, e, k))
+    if scored:
+        taken += _apart(taken, [(s, e, k) for _, s, e, k in sorted(scored)])
     return sorted(taken, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
@@ -263,11 +286,14 @@ def _apart(taken, more):
 
 
 def fit(docs: DataFrame) -> dict:
-    """Count the votes on all candidates of all documents and learn the classifier.
+    """Count the votes on all candidates of all documents, estimate the labels, and learn the classifier from sampled spans.
 
     What reaches the driver are counts by kind and vote pattern, at most
-    7 x 729 rows whatever the size of docs.
+    7 x 729 rows, and the features of about SAMPLE spans of each, whatever the
+    size of docs.  Spans are chosen by a hash of themselves and what is around
+    them.
     """
+    texts = docs.select(F.col("text").cast("string").alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -278,8 +304,23 @@ def fit(docs: DataFrame) -> dict:
                         seen[k, votes(text, s, e, k, ok)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([v for _, v in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["kind", "votes", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
-    return learn({(r.kind, r.votes): r.n for r in rows})
+    rows = texts.mapInArrow(count, "kind string, votes string, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
+    counts = {(r.kind, r.votes): r.n for r in rows}
+
+    def choose(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                if text:
+                    for s, e, k, ok in candidates(text):
+                        v = votes(text, s, e, k, ok)
+                        if zlib.crc32(text[max(0, s - LOOK) : e + LOOK].encode("utf-8", "surrogatepass")) * counts.get((k, v), 1) < SAMPLE << 32:
+                            out.append((k, v, features(text, s, e, k, v)))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(list(columns[2]), pa.list_(pa.int32()))], ["kind", "votes", "x"])
+
+    sample = [(r.kind, r.votes, list(r.x)) for r in texts.mapInArrow(choose, "kind string, votes string, x array<int>").collect()] if counts else []
+    return learn(counts, sample)
 
 
 def written(found) -> str:
@@ -300,11 +341,10 @@ def find_personal_data(docs: DataFrame, model: dict | None = None) -> DataFrame:
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
     def run(batches):
-        known: dict = {}
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                every = spans(text, model, known)
+                every = spans(text, model)
                 base = base_spans(text) if every else []
                 base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
                 n = Counter(k for _, _, k in base)
@@ -322,11 +362,10 @@ def redact(docs: DataFrame, text: str = "text", model: dict | None = None) -> Da
     at = docs.columns.index(text)
 
     def run(batches):
-        known: dict = {}
         for batch in batches:
             out = []
             for t in batch.column(at).to_pylist():
-                found = spans(t, model, known)
+                found = spans(t, model)
                 if found:
                     parts, past = [], 0
                     for s, e, k in found:

@@ -1,7 +1,10 @@
 """Learned operators: held-out accuracy, and parts against plain versions."""
 
+import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -16,7 +19,7 @@ def test_language(docs, texts):
     held = [i for i in got if i % 4 == 2]
     assert all(got[i].lang_pred == texts[i][1] and 0 <= got[i].score <= 1 for i in held)
     # probabilities of a context's characters sum to one
-    codes = np.arange(1 << language.BITS, dtype=np.uint32) | np.uint32(int(language.grams(["the"])[0][2]) << language.BITS & 0xFFFFFFF)
+    codes = np.arange(1 << language.BITS, dtype=np.uint64) | np.uint64(int(language.grams(["the"])[0][2]) << language.BITS & (1 << 64) - 1)
     assert np.allclose(np.exp(model._log(codes, language.ORDER)).sum(0), 1, atol=1e-3)
     # parts of a long text add up
     e, n = model.entropies(["the ring " * 50])
@@ -28,6 +31,65 @@ def test_language(docs, texts):
     assert np.allclose(e, e2) and n.tolist() == n2.tolist()
 
 
+def plain_kneser_ney(texts, order=4):
+    """Interpolated Kneser-Ney over letters, by dictionaries: text -> cross-entropy of a character."""
+
+    def spelt(text):  # words of letters between boundaries
+        return [list(w) + [0] for w in "".join(c.lower() if c.isalpha() else " " for c in text).split()]
+
+    def n_grams(text):
+        return [tuple(([0] * order + w[:i + 1])[-order:]) for w in spelt(text) for i in range(len(w))]
+
+    counts = [Counter(g for t in texts for g in n_grams(t))]
+    for _ in range(order - 1):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    off = []
+    for c in counts:
+        n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+        off.append(min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5)
+    total, kinds = {}, {}
+    for c in counts:
+        for g, n in c.items():
+            total[len(g), g[:-1]] = total.get((len(g), g[:-1]), 0) + n
+            kinds[len(g), g[:-1]] = kinds.get((len(g), g[:-1]), 0) + 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 65536
+        all_, below = total.get((k, g[:-1])), p(g[1:])
+        if not all_:
+            return below
+        d = off[k - 1]
+        return max(counts[k - 1].get(g, 0) - d, 0) / all_ + d * kinds[k, g[:-1]] / all_ * below
+
+    return lambda text: -sum(math.log(p(g)) for g in n_grams(text)) / len(n_grams(text))
+
+
+def test_language_equals_plain_kneser_ney(texts):
+    own = {"en": [t for t, x in texts if x == "en"][:30], "ru": ["привет мир, как дела", "мир и Труд!"], "he": ["שלום עולם", "עולם טוב"], "zh": ["天地玄黃 宇宙洪荒", "天地"], "got": ["𐌰𐌱𐌲 𐌰𐌱", "𐌲𐌰🙂𐌱"]}
+    counts = []
+    for x in sorted(own):
+        code, n = np.unique(language.grams(own[x])[0], return_counts=True)
+        counts.append((code, n))
+    model = language.Model(sorted(own), counts)
+    asked = [own["en"][3], "the ring é", "мир Дела", "עולם", "天 地玄", "𐌰𐌱 x", "🙂a🙂"]
+    found, _ = model.entropies(asked)
+    # a letter of two units is two characters: the plain version reads it so too
+    halves = lambda t: "".join(c if ord(c) < 65536 or not c.isalpha() else "".join(chr(0x3400 + (u & 0x7FF)) for u in struct.unpack("<2H", c.encode("utf-16-le"))) for c in t)
+    for j, x in enumerate(sorted(own)):
+        plain = plain_kneser_ney([halves(t) for t in own[x]])
+        assert np.allclose(found[:, j], [plain(halves(t)) for t in asked], rtol=1e-4)
+    best = [sorted(own)[j] for j in found.argmin(1)]
+    assert best[:6] == ["en", "en", "ru", "he", "zh", "got"]
+
+
+def test_scripts_do_not_meet():
+    """Letters whose numbers agree in the last bits are different letters."""
+    code = {x: language.grams([x])[0][0] for x in "аאaα天𐌰"}
+    assert len(set(code.values())) == 6 and language.grams(["Ab"])[0].tolist() == language.grams(["aB"])[0].tolist()
+
+
 def test_language_keeps_all_n_grams(spark, docs, texts, monkeypatch):
     monkeypatch.setattr(language, "MOST_GRAMS", 100, raising=False)
     small = spark.createDataFrame([("zażółć gęślą jaźń", "pl", 0, 1), ("ďábelské ódy", "cs", 1, 2)], "text string, lang string, part int, key long")
@@ -61,6 +123,59 @@ def test_descent_finds_the_margin():
     assert abs(w[0] + bias - 1) < 0.01 and abs(w[1] + bias + 1) < 0.01
 
 
+def test_descent_equals_the_plain_dual():
+    """Against projected gradient on the whole dual problem, which is slow and plain."""
+    r = np.random.default_rng(4)
+    rows = [np.sort(r.choice(6, r.integers(1, 5), replace=False)) for _ in range(14)]
+    values = [r.normal(size=len(x)) for x in rows]
+    y = np.where(r.random(14) > 0.4, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 1.3)
+    w, bias = quality.descend(rows, values, y, cost, 3000)
+    x = np.zeros((14, 7))
+    for i in range(14):
+        x[i, rows[i]], x[i, 6] = values[i], 1
+    q = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha = np.zeros(14)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.norm(q, 2), 0, cost)
+    want = (alpha * y) @ x
+    assert np.allclose(w[:6], want[:6], atol=2e-3) and abs(bias - want[6]) < 2e-3
+
+
+def test_ratios_and_features_are_those_of_the_method():
+    tokens = quality.Tokens()
+    texts = [("good plain words here", 1), ("good words", 1), ("bad junk words", 0)]
+    rows = [quality.features(t, tokens) for t, _ in texts]
+    word = lambda w: zlib.crc32(w.encode()) % quality.SIZE
+    two = lambda a, b: (word(a) * 1_000_003 + word(b) * 7_919 + 11) % quality.SIZE
+    assert {word("good"), word("plain"), two("good", "plain"), two("words", "here")} <= set(rows[0].tolist()) and two("good", "words") not in rows[0]
+    r = quality.ratios(rows, np.array([1.0, 1.0, -1.0]))
+    good, bad = Counter(f for x in rows[:2] for f in x.tolist()), Counter(rows[2].tolist())
+    totals = [sum(c.values()) + quality.SIZE for c in (good, bad)]
+    for f in {*good, *bad}:
+        assert abs(r[f] - math.log((good[f] + 1) / totals[0] / ((bad[f] + 1) / totals[1]))) < 1e-9
+
+
+def test_quality_held_out(spark):
+    """Two kinds of prose that differ in words alone, or in the order of words alone: the score must tell them apart on texts it hasn't seen."""
+    r = random.Random(12)
+    names = [f"w{chr(97 + i)}" for i in range(20)]
+
+    def text(label):
+        out = []
+        for _ in range(60):
+            a, b = r.sample(range(20), 2)
+            out += [names[min(a, b)], names[max(a, b)]] if label else [names[max(a, b)], names[min(a, b)]]
+        return " ".join(out)
+
+    rows = [(i, text(i % 2)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400) if i % 5], "doc_id long, quality int")
+    got = {x.doc_id: x.score for x in quality.score(docs, quality.train(docs, labels)).collect()}
+    held = [i for i in got if i % 5 == 0]
+    assert sum((got[i] > 0.5) == bool(i % 2) for i in held) >= 0.95 * len(held)
+
+
 def plain_counts(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -137,3 +252,45 @@ def test_reliabilities():
     votes, given = personal_data.estimate({("card", "++++++"): 90, ("card", "-----0"): 80, ("card", "-+++++"): 20, ("card", "+-----"): 10})
     assert votes["card", "++++++"] > 0.9 > 0.1 > votes["card", "-----0"] and given.shape == (6, 2, 3)
     assert personal_data.estimate({})[0] == {}
+
+
+def plain_estimate(rows, rounds):
+    """Expectation-maximisation, row by row: probability of each."""
+    p = [min(0.95, max(0.05, 0.5 + sum("-0+".index(c) - 1 for c in v) / (2 * len(v)))) for v in rows]
+    for _ in range(rounds):
+        given = [[[10 * s for s in ((2.0, 1.0, 0.5), (0.5, 1.0, 2.0))[t]] for t in (0, 1)] for _ in rows[0]]
+        for v, x in zip(rows, p, strict=True):
+            for j, c in enumerate(v):
+                given[j][1]["-0+".index(c)] += x
+                given[j][0]["-0+".index(c)] += 1 - x
+        prior = (sum(p) + 10) / (len(p) + 20)
+        out = []
+        for v in rows:
+            odds = prior / (1 - prior)
+            for j, c in enumerate(v):
+                a = "-0+".index(c)
+                odds *= given[j][1][a] / sum(given[j][1]) / (given[j][0][a] / sum(given[j][0]))
+            out.append(odds / (1 + odds))
+        p = out
+    return p
+
+
+def test_estimates_equal_the_plain_ones():
+    r = random.Random(9)
+    rows = []
+    for _ in range(300):
+        truth = r.random() < 0.4
+        rows.append("".join("0" if r.random() < 0.2 else "+" if truth == (r.random() < sure) else "-" for sure in (0.95, 0.9, 0.8, 0.7, 0.6, 0.55)))
+    found, _ = personal_data.estimate(Counter(("card", v) for v in rows), 25)
+    assert np.allclose([found["card", v] for v in rows], plain_estimate(rows, 25), atol=1e-6)
+
+
+def test_the_classifier_reads_spans_and_contexts():
+    """Where votes say nothing, what stands around a span decides."""
+    texts = [(f"password = {'ab12' * 4}{i} x", "++++++") for i in range(40)] + [(f"sample = {'ab12' * 4}{i} x", "------") for i in range(40)]
+    at = lambda t: (t.index("ab12"), t.index(" x"))
+    sample = [("secret", v, personal_data.features(t, *at(t), "secret", v)) for t, v in texts]
+    model = personal_data.learn({("secret", "++++++"): 4000, ("secret", "------"): 4000}, sample)
+    p = [personal_data.probability(model, personal_data.features(t, *at(t), "secret", "000000")) for t in ("password = ab12ab12q x", "sample = ab12ab12q x")]
+    assert p[0] > 0.7 > 0.3 > p[1]
+    assert personal_data.probability(personal_data.learn({}, []), personal_data.features(texts[0][0], 11, 30, "secret", "000000")) == 0.5
