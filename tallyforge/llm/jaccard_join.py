@@ -5,11 +5,18 @@ MinHash values agree on a band meet in a bucket; there pairs are compared a few
 values at a time and dropped as soon as it is too unlikely that they reach the
 threshold.  What survives ties texts into groups, every text's shingles go to
 its group once, and there the pairs that survive the same test are verified on
-their shingles.  Pairs are counted where they are found and never listed.
+their shingles (sets of 64-bit hashes).  Pairs are counted where they are
+found and never listed.
+
+Where it only matters which texts hang together, a large bucket or group is
+compared with one of its members first; only what isn't near that one is
+compared with all others, block by block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 from math import comb
@@ -18,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyforge.llm.common import boxed, stored, table, words
+from tallyforge.llm.common import boxed, stored, table, two_hashes, words
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -30,7 +38,9 @@ VALUES, ROWS, STEP = 128, 4, 16
 TOLERANCE = 1e-6
 #: Texts of a block; a larger bucket or group is compared block by block.  Shingles of a block, about.
 BLOCK, SHINGLES = 512, 4_000_000
-REMEMBER = 200_000
+#: Large buckets or groups up to which their first members are broadcast.
+PIVOTS = 20_000
+REMEMBER = 100_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -198,8 +208,11 @@ def _signatures(sig: pa.ChunkedArray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """rid (of id and text), doc_id, key (digest of the words; null without words), n_shingles and sig of every whole text."""
-    schema = f"rid long, doc_id {dict(docs.dtypes)['doc_id']}, key binary, n_shingles long, sig binary"
+    """rid (a number for each row), hash_a and hash_b (128 bits of id and text), doc_id, key (digest of the words; null without words), n_shingles and sig of every whole text.
+
+    The numbers hold once the table is stored.
+    """
+    schema = f"rid long, hash_a long, hash_b long, doc_id {dict(docs.dtypes)['doc_id']}, key binary, n_shingles long, sig binary"
 
     def sign(batches):
         import xxhash
@@ -207,76 +220,173 @@ def signed(docs: DataFrame) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             keys, sizes, sigs = [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(4).to_pylist():
                 found = words(text)
                 x = shingles(found, hashes)
                 keys.append(xxhash.xxh3_128_digest(" ".join(found)) if found else None)
                 sizes.append(len(x))
                 sigs.append(signature(x).tobytes() if found else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["rid", "doc_id", "key", "n_shingles", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["rid", "hash_a", "hash_b", "doc_id", "key", "n_shingles", "sig"])
 
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64("doc_id", text).alias("rid"), "doc_id", text.alias("text")).mapInArrow(sign, schema)
+    a, b = two_hashes(F.col("doc_id"), text)
+    return docs.select(F.monotonically_increasing_id().alias("rid"), a.alias("hash_a"), b.alias("hash_b"), "doc_id", text.alias("text")).mapInArrow(sign, schema)
+
+
+def block_of(seed: int, k):
+    return F.pmod(F.xxhash64("rep", F.lit(seed)), k)
+
+
+def numbers(k):
+    return F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
 
 
 def in_blocks(members: DataFrame, group: str, k) -> DataFrame:
     """members with block, and cell: what is compared together.  Of k blocks each meets each, so a member stands in k cells of two blocks (one where k is 1)."""
-    block = F.pmod(F.xxhash64("rep", F.lit(1)), k)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), k - 1)).alias("other")
-    cut = members.withColumn("block", block).select("*", other)
+    cut = members.withColumn("block", block_of(1, k)).select("*", numbers(k).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     return cut.withColumn("cell", F.xxhash64(group, low, high)).withColumn("own", low == high).drop("other")
 
 
-def ties(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all representatives between which a chain of plausible pairs runs."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(VALUES // ROWS - 1))).alias("band")
-    part = F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})")
-    banded = reps.select("rep", "sig", band).select("rep", F.xxhash64("band", part).alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
-    # bands that gather the same texts are one bucket
-    once = full.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))
-    members = banded.join(once.select("bucket", "n"), "bucket").join(reps.select("rep", "sig"), "rep")
-    cells = in_blocks(members, "bucket", F.ceil(F.col("n") / BLOCK)).select("cell", "own", "block", "rep", "sig")
+@dataclass
+class Close:
+    """Which members are close: matrix(group) of all pairs of a group, rows(a, b) of each row of a with that of b."""
+
+    matrix: Callable[[pa.Table], np.ndarray]
+    rows: Callable[[pa.Table, pa.Table], np.ndarray]
+
+
+def _plausible_rows(a: pa.Table, b: pa.Table) -> np.ndarray:
+    agree = (_signatures(a.column("sig")) == _signatures(b.column("sig"))).reshape(a.num_rows, -1, STEP).sum(2).cumsum(1)
+    return (agree >= np.array(list(enough().values()))).all(1)
+
+
+def _verified_rows(a: pa.Table, b: pa.Table) -> np.ndarray:
+    out = _plausible_rows(a, b)
+    for i in np.flatnonzero(out):
+        out[i] = verified(np.array([[False, True], [True, False]]), [np.frombuffer(t.column("x")[int(i)].as_py(), np.uint64) for t in (a, b)])[0, 1]
+    return out
+
+
+def _verified_pairs(group: pa.Table, near: np.ndarray | None = None) -> np.ndarray:
+    near = plausible(_signatures(group.column("sig"))) if near is None else near
+    return verified(near, [np.frombuffer(x, np.uint64) for x in group.column("x").to_pylist()])
+
+
+PLAUSIBLE = Close(lambda group: plausible(_signatures(group.column("sig"))), _plausible_rows)
+VERIFIED = Close(_verified_pairs, _verified_rows)
+
+
+def within_cells(cells: DataFrame, close: Close) -> DataFrame:
+    """Edges (a, b) that join the members of each cell that chains of close pairs tie; with a column rest, only pairs with one of the rest count."""
 
     def tie(batches):
         for group in runs(batches, "cell"):
-            rep = group.column("rep").to_numpy()
-            near = plausible(_signatures(group.column("sig")))
-            if not group.column("own")[0].as_py():
-                block = group.column("block").to_numpy()
-                near &= block[:, None] != block[None, :]
+            first = np.unique(group.column("rep").to_numpy(), return_index=True)[1]  # one of both sides is one
+            if "rest" in group.column_names:
+                rest = np.isin(group.column("rep").to_numpy()[first], group.filter(group.column("rest")).column("rep").to_numpy())
+            group = group.take(pa.array(first))
+            rep, near = group.column("rep").to_numpy(), close.matrix(group)
+            if "rest" in group.column_names:
+                near &= rest[:, None] | rest[None, :]
             root = roots(near)
             at = np.nonzero(root != np.arange(len(root)))[0]
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[root[at]])], ["a", "b"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tie, "a long, b long").distinct()
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(tie, "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
-    """rep, root, n_links and whole for every cell that a representative stands in.
+def around_pivots(spark, members: DataFrame, details: DataFrame, close: Close) -> DataFrame:
+    """Edges (a, b) that join the members of large groups that chains of close pairs tie.
 
-    groups(rep, grp): the tied representatives.  root is the first
-    representative that verified pairs of the cell tie it to, whole whether
-    the cell is all of its group.
+    members(grp, rep, k): k is the number of blocks of the group;
+    details(rep, weight, ...): what close compares, and what a member weighs in
+    blocks.  Every member is compared with the first one of its group; those
+    that aren't close to it, the rest, are compared with all members.  A group
+    of n near copies so takes n comparisons and no copies of its members.
     """
-    sizes = groups.join(reps.select("rep", "n_shingles"), "rep").groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total"))
-    k = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / SHINGLES))
-    members = groups.join(sizes.select("grp", k.alias("k")), "grp").join(reps.select("rep", "sig", "copies"), "rep")
-    text = F.col("text").cast("string")
-    # one row for each id and text
-    texts = docs.select(F.xxhash64("doc_id", text).alias("rep"), text.alias("text"))
-    having = members.join(texts, "rep")
-    schema = "rep long, grp long, k long, sig binary, copies long, x binary"
+    columns = [c for c in details.columns if c != "rep"]
+    full = members.join(details, "rep")
+    pivots = stored(spark, full.groupBy("grp").agg(F.min(F.struct("rep", *columns)).alias("pivot")), "pivots")
+    few = pivots.count() <= PIVOTS
+    met = full.join(F.broadcast(pivots) if few else pivots, "grp").select("grp", "k", "rep", "weight", "pivot", F.struct("rep", *columns).alias("own"))
+
+    def compare(batches):
+        for batch in batches:
+            if batch.num_rows:
+                mine, first = (pa.Table.from_struct_array(batch.column(c)) for c in ("own", "pivot"))
+                rep = first.column("rep").combine_chunks()
+                near = close.rows(mine, first) | (rep.to_numpy() == batch.column("rep").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "k", "rep", "weight")), rep, pa.array(near)], ["grp", "k", "rep", "weight", "first", "close"])
+
+    starred = stored(spark, met.mapInArrow(compare, "grp long, k long, rep long, weight long, first long, close boolean"), "starred")
+    star = starred.where("close and rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    apart = starred.where("not close")
+    sizes = apart.groupBy("grp").agg(blocks(F.count("*"), F.sum("weight")).alias("parts"))
+    sizes = stored(spark, sizes, "rest")
+    if sizes.isEmpty():
+        return star
+    rest = apart.join(sizes, "grp").select("grp", "rep", block_of(2, F.col("parts")).alias("i"), numbers(F.col("k")).alias("j"), F.lit(True).alias("rest"))
+    every = starred.join(sizes, "grp").select("grp", "rep", numbers(F.col("parts")).alias("i"), block_of(1, F.col("k")).alias("j"), F.lit(False).alias("rest"))
+    cells = rest.unionByName(every).withColumn("cell", F.xxhash64("grp", "i", "j")).drop("grp", "i", "j")
+    return star.unionByName(within_cells(cells.join(details, "rep"), close))
+
+
+def blocks(n, weight):
+    """Blocks that n members of so many shingles are cut into."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(weight / SHINGLES)).cast("long")
+
+
+def ties(reps: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all representatives between which a chain of plausible pairs runs."""
+    spark = reps.sparkSession
+    band = F.explode(F.sequence(F.lit(0), F.lit(VALUES // ROWS - 1))).alias("band")
+    part = F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})")
+    banded = reps.select("rep", "sig", band).select("rep", F.xxhash64("band", part).alias("bucket"))
+    full = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
+    # bands that gather the same texts are one bucket
+    once = full.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))
+    members = stored(spark, banded.join(once.select("bucket", "n"), "bucket"), "buckets")
+    details = reps.select("rep", F.lit(0).cast("long").alias("weight"), "sig")
+    cells = members.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("cell"), "rep").join(details, "rep")
+    found = within_cells(cells, PLAUSIBLE)
+    large = members.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        found = found.unionByName(around_pivots(spark, large.select(F.col("bucket").alias("grp"), "rep", blocks(F.col("n"), F.lit(0)).alias("k")), details, PLAUSIBLE))
+    return found.distinct()
+
+
+def shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members(rep, hash_a, hash_b, ...) without the hashes, with x: the shingles of each one's text; rows that repeat an id and its text give several."""
+    a, b = two_hashes(F.col("doc_id"), F.col("text").cast("string"))
+    texts = docs.select(a.alias("hash_a"), b.alias("hash_b"), F.col("text").cast("string").alias("text"))
+    held = members.join(texts, ["hash_a", "hash_b"]).drop("hash_a", "hash_b")
+    kept_ = [f for f in held.schema.fields if f.name != "text"]
+    at = held.columns.index("text")
 
     def shingle(batches):
         hashes = _Hashes()
         for batch in batches:
-            x = [shingles(words(t), hashes).tobytes() for t in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(x, pa.binary())], ["rep", "grp", "k", "sig", "copies", "x"])
+            x = [shingles(words(t), hashes).tobytes() for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept_), pa.array(x, pa.binary())], [*(f.name for f in kept_), "x"])
+
+    return held.mapInArrow(shingle, StructType([*kept_, StructField("x", BinaryType())]))
+
 
-    held = having.select("rep", "grp", "k", "sig", "copies", "text").mapInArrow(shingle, schema)
-    cells = in_blocks(held, "grp", F.col("k"))
+def grouped(reps: DataFrame, groups: DataFrame) -> DataFrame:
+    """rep, grp, k (blocks), and what links needs of every tied representative of groups(rep, grp)."""
+    sizes = groups.join(reps.select("rep", "n_shingles"), "rep").groupBy("grp").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("k"))
+    return groups.join(sizes, "grp").join(reps.select("rep", "hash_a", "hash_b", "n_shingles", "sig", "copies"), "rep")
+
+
+def links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """rep, root, n_links and whole for every cell that a representative stands in.
+
+    members: as grouped() gives them.  root is the first representative that
+    verified pairs of the cell tie it to, whole whether the cell is all of its
+    group.
+    """
+    cells = in_blocks(shingled(docs, members.drop("n_shingles")), "grp", F.col("k"))
 
     def count(batches):
         for group in runs(batches, "cell"):
@@ -287,7 +397,7 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
             if not group.column("own")[0].as_py():
                 block = group.column("block").to_numpy()
                 near &= block[:, None] != block[None, :]
-            near = verified(near, [np.frombuffer(x, np.uint64) for x in group.column("x").to_pylist()])
+            near = _verified_pairs(group, near)
             root = roots(near)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rep), pa.array(rep[root]), pa.array((near * copies[None, :]).sum(1).astype(np.int64)), pa.array(group.column("k").to_numpy() == 1)],
@@ -297,6 +407,19 @@ def links(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> DataFrame:
     return cells.select("cell", "own", "block", "rep", "k", "sig", "copies", "x").repartition("cell").sortWithinPartitions("cell").mapInArrow(count, "rep long, root long, n_links long, whole boolean")
 
 
+def rooted(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node and root of every representative that verified pairs tie to others, without counting the pairs; members: as grouped() gives them."""
+    spark = docs.sparkSession
+    cells = shingled(docs, members.where("k = 1").select("rep", F.col("grp").alias("cell"), "hash_a", "hash_b", "sig"))
+    edges = within_cells(cells, VERIFIED)
+    large = members.where("k > 1")
+    if not large.isEmpty():
+        # repeated rows are one
+        details = shingled(docs, large.select("rep", "hash_a", "hash_b", F.col("n_shingles").alias("weight"), "sig")).groupBy("rep").agg(*[F.first(c).alias(c) for c in ("weight", "sig", "x")])
+        edges = edges.unionByName(around_pivots(spark, large.select("grp", "rep", "k"), stored(spark, details, "shingles"), VERIFIED))
+    return components(edges)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Texts whose sets of five-word runs have a Jaccard similarity of THRESHOLD or more.
 
@@ -312,40 +435,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     probability of 5e-8, and pruning drops them with at most TOLERANCE at each
     step; what is counted is verified on the shingles themselves.
     """
-    rows = classed(docs)
-    ids = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(ids, "root").select("doc_id", "class_id", "n_links", "n_copies")
+    spark = docs.sparkSession
+    every, reps, members = candidates(docs)
+    cells = stored(spark, links(docs, members), "links")
+    apart = cells.where("not whole and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    found = cells.where("whole and rep <> root").select(F.col("rep").alias("node"), "root").unionByName(components(apart))
+    counted = cells.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    linked = reps.select("key", "rep", "copies", "least_id").join(counted, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = stored(spark, linked.withColumn("root", F.coalesce("root", "rep")), "linked")
+    # classes are settled among representatives; both tables are stored, so that the join can split the rows of a large class
+    ids = stored(spark, linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")
+    linked = linked.join(ids.drop("n"), "root", "left")
+    copies = F.col("copies") - 1
+    settled = linked.select("key", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
+    rows = every.where("key is not null").select("doc_id", "key").join(stored(spark, settled, "settled"), "key").drop("key")
+    none = F.lit(0).cast("long")
+    return rows.unionByName(every.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """One row of docs of each class, all columns: that of the smallest doc_id (then of the text's hash); one without an id only where no row of the class has one."""
-    least = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "rid")
-    chosen = classed(docs).groupBy("root").agg(F.min(least).alias("first")).select(F.col("first.rid").alias("kept_rid"))
-    chosen = stored(docs.sparkSession, chosen, "kept")
-    own = boxed(docs, kept_rid=F.xxhash64("doc_id", F.col("text").cast("string"))).join(chosen, "kept_rid", "left_semi")
-    # rows that repeat an id and its text are one document
-    return own.dropDuplicates(["kept_rid"]).select("row.*")
-
+    """One row of docs of each class, all columns: that of the smallest doc_id; one without an id only where no row of the class has one.
 
-def classed(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, root, n_links and n_copies of each row of docs; root is the same for all rows of a class."""
+    Rows that repeat an id and its text are one document.  Texts without words
+    are all kept.  Links aren't counted, so that a group of n near copies takes
+    n comparisons.
+    """
+    spark = docs.sparkSession
+    every, reps, members = candidates(docs)
+    found = rooted(docs, members).withColumnRenamed("node", "rep")
+    linked = reps.select("rep", "first").join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    chosen = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.hash_a").alias("kept_a"), F.col("first.hash_b").alias("kept_b"))
+    chosen = chosen.unionByName(every.where("key is null").select(F.col("hash_a").alias("kept_a"), F.col("hash_b").alias("kept_b")).distinct())
+    a, b = two_hashes(F.col("doc_id"), F.col("text").cast("string"))
+    own = boxed(docs, kept_a=a, kept_b=b).join(stored(spark, chosen, "kept"), ["kept_a", "kept_b"], "left_semi")
+    return own.dropDuplicates(["kept_a", "kept_b"]).select("row.*")
+
+
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows signed, the representatives of equal words, and those that plausible pairs tie, by group."""
     spark = docs.sparkSession
     every = stored(spark, signed(docs), "signed")
-    least = F.min(F.struct("doc_id", "rid", "n_shingles", "sig"))
-    reps = every.where("key is not null").groupBy("key").agg(least.alias("first"), F.count("*").alias("copies"))
-    reps = stored(spark, reps.select("key", F.col("first.rid").alias("rep"), F.col("first.n_shingles").alias("n_shingles"), F.col("first.sig").alias("sig"), "copies"), "representatives")
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "rid", "hash_a", "hash_b", "n_shingles", "sig")
+    reps = every.where("key is not null").groupBy("key").agg(F.min(first).alias("f"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
+    reps = reps.select("key", F.col("f.rid").alias("rep"), F.col("f.hash_a").alias("hash_a"), F.col("f.hash_b").alias("hash_b"), F.col("f.n_shingles").alias("n_shingles"), F.col("f.sig").alias("sig"), "copies", "least_id", F.struct("f.without", "f.doc_id", "f.rid", "f.hash_a", "f.hash_b").alias("first"))
+    reps = stored(spark, reps, "representatives")
     groups = stored(spark, components(ties(reps)).select(F.col("node").alias("rep"), F.col("root").alias("grp")), "groups")
-    cells = stored(spark, links(docs, reps, groups), "links")
-    apart = cells.where("not whole and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    rooted = cells.where("whole and rep <> root").select(F.col("rep").alias("node"), "root").unionByName(components(apart))
-    counted = cells.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    linked = reps.select("key", "rep", "copies").join(counted, "rep", "left").join(rooted.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = linked.select("key", F.coalesce("root", "rep").alias("root"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    # the rows of a class can be many: the key's copies are joined, and the least id is a minimum summed up before the shuffle
-    rows = every.select("rid", "doc_id", "key").join(linked, "key", "left").withColumn("root", F.coalesce("root", "rid"))
-    copies = F.coalesce(F.col("copies"), F.lit(1)) - 1
-    rows = rows.select("rid", "doc_id", "root", (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
-    return stored(spark, rows, "classed")
+    return every, reps, grouped(reps, groups)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

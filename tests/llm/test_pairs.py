@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import decontamination, jaccard_join, substring_dedup
 from tallyforge.llm.components import components
@@ -49,6 +50,34 @@ def test_blocks_change_nothing(docs, texts, monkeypatch):
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], len(links[i])) for i in links}
 
 
+@pytest.mark.parametrize("block", (1, 3))
+def test_pivots_change_nothing(docs, texts, monkeypatch, block):
+    """One of each class stays, with blocks so small that every bucket and group is compared with its first member."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", block)
+    root, _ = brute(texts)
+    assert sorted(r.doc_id for r in jaccard_join.kept(docs).collect()) == [i for i in root if root[i] == i]
+
+
+def test_chains_of_near_copies(spark, monkeypatch):
+    """A chain whose ends aren't alike: members far from the first one hang together through others."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(40):
+        base[8 * i : 8 * i + 8] = [f"v{r.randrange(10**6)}" for _ in range(8)]
+        rows.append((i, " ".join(base)))
+    rows += [(100 + i, " ".join(f"u{r.randrange(10**6)}" for _ in range(50))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    root, links = brute([(t, "") for _, t in rows])
+    assert len(set(root.values())) == 6 and len(links[0]) < 39
+    for block in (512, 4):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_join.near_duplicates(docs).collect()}
+        assert got == {i: (0 if i < 100 else i, len(links[k])) for k, (i, _) in enumerate(rows)}
+        assert sorted(x.doc_id for x in jaccard_join.kept(docs).collect()) == [0, 100, 101, 102, 103, 104]
+
+
 def test_many_near_copies_use_the_matrix():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 60, 300).astype(np.uint64)
