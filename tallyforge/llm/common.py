@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,13 +71,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is stored inside, but for what is marked outer, is deleted at the end: it must not be read later."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage: what was computed once is read again from a store
     that outlives executors, and rows that carry a task's own numbering stay as
-    they were when that task committed.
+    they were when that task committed.  outer: it outlives the scratch that
+    it is written in.
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held = _SCRATCH[:-1] if outer else _SCRATCH
+    if held:
+        held[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

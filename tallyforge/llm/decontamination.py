@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import LOWER, NOT_WORD, UPPER, boxed, stored, table, two_hashes, words_col
+from tallyforge.llm.common import LOWER, NOT_WORD, UPPER, boxed, scratch, stored, table, two_hashes, words_col
 
 WINDOW = 10
 #: Lists of a window's rarest terms that are intersected before all others are.
@@ -162,7 +162,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     index = build(docs, benchmark)
     place = lambda df, kind: df.select("rid", F.col("item_id").cast("string").alias("item"), "first", "last", F.lit(kind).alias("kind"))
-    matches = stored(docs.sparkSession, place(phrase_matches(index, window), "phrase").unionByName(place(proximity_matches(index), "near")).distinct(), "matches")
+    with scratch(docs.sparkSession):
+        matches = place(phrase_matches(index, window), "phrase").unionByName(place(proximity_matches(index), "near"))
+        matches = stored(docs.sparkSession, matches.distinct(), "matches", outer=True)
     phrase = F.col("kind") == "phrase"
     # runs of a text in order: what a run adds to the words that earlier ones have covered
     covered = F.aggregate(
@@ -190,9 +192,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     Rows are told apart by 128 bits of hashes of id and text.
     """
     keys = dict(zip(("matched_a", "matched_b"), two_hashes(F.col("doc_id"), F.col("text").cast("string")), strict=True))
-    index = build(docs, benchmark, **keys)
-    bad = index.texts.join(phrase_matches(index, window).select("rid").distinct(), "rid", "left_semi").select(*keys)
-    bad = stored(docs.sparkSession, bad, "matched")
+    with scratch(docs.sparkSession):
+        index = build(docs, benchmark, **keys)
+        bad = index.texts.join(phrase_matches(index, window).select("rid").distinct(), "rid", "left_semi").select(*keys)
+        bad = stored(docs.sparkSession, bad, "matched", outer=True)
     return boxed(docs, **keys).join(bad, list(keys), "left_anti").select("row.*")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyforge.llm.common import boxed, stored, table, two_hashes, words
+from tallyforge.llm.common import boxed, scratch, stored, table, two_hashes, words
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -437,18 +437,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     every, reps, members = candidates(docs)
-    cells = stored(spark, links(docs, members), "links")
-    apart = cells.where("not whole and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    found = cells.where("whole and rep <> root").select(F.col("rep").alias("node"), "root").unionByName(components(apart))
-    counted = cells.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    linked = reps.select("key", "rep", "copies", "least_id").join(counted, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = stored(spark, linked.withColumn("root", F.coalesce("root", "rep")), "linked")
-    # classes are settled among representatives; both tables are stored, so that the join can split the rows of a large class
-    ids = stored(spark, linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")
-    linked = linked.join(ids.drop("n"), "root", "left")
-    copies = F.col("copies") - 1
-    settled = linked.select("key", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
-    rows = every.where("key is not null").select("doc_id", "key").join(stored(spark, settled, "settled"), "key").drop("key")
+    with scratch(spark):
+        cells = stored(spark, links(docs, members), "links")
+        apart = cells.where("not whole and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+        found = cells.where("whole and rep <> root").select(F.col("rep").alias("node"), "root").unionByName(components(apart))
+        counted = cells.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+        linked = reps.select("key", "rep", "copies", "least_id").join(counted, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        linked = stored(spark, linked.withColumn("root", F.coalesce("root", "rep")), "linked")
+        # classes are settled among representatives; both tables are stored, so that the join can split the rows of a large class
+        ids = stored(spark, linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")
+        linked = linked.join(ids.drop("n"), "root", "left")
+        copies = F.col("copies") - 1
+        settled = linked.select("key", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
+        settled = stored(spark, settled, "settled", outer=True)
+    rows = every.where("key is not null").select("doc_id", "key").join(settled, "key").drop("key")
     none = F.lit(0).cast("long")
     return rows.unionByName(every.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
 
@@ -462,7 +464,8 @@ def kept(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     every, reps, members = candidates(docs)
-    found = rooted(docs, members).withColumnRenamed("node", "rep")
+    with scratch(spark):
+        found = stored(spark, rooted(docs, members).withColumnRenamed("node", "rep"), "rooted", outer=True)
     linked = reps.select("rep", "first").join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     chosen = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.hash_a").alias("kept_a"), F.col("first.hash_b").alias("kept_b"))
     chosen = chosen.unionByName(every.where("key is null").select(F.col("hash_a").alias("kept_a"), F.col("hash_b").alias("kept_b")).distinct())
@@ -479,7 +482,8 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     reps = every.where("key is not null").groupBy("key").agg(F.min(first).alias("f"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
     reps = reps.select("key", F.col("f.rid").alias("rep"), F.col("f.hash_a").alias("hash_a"), F.col("f.hash_b").alias("hash_b"), F.col("f.n_shingles").alias("n_shingles"), F.col("f.sig").alias("sig"), "copies", "least_id", F.struct("f.without", "f.doc_id", "f.rid", "f.hash_a", "f.hash_b").alias("first"))
     reps = stored(spark, reps, "representatives")
-    groups = stored(spark, components(ties(reps)).select(F.col("node").alias("rep"), F.col("root").alias("grp")), "groups")
+    with scratch(spark):
+        groups = stored(spark, components(ties(reps)).select(F.col("node").alias("rep"), F.col("root").alias("grp")), "groups", outer=True)
     return every, reps, grouped(reps, groups)
 
 

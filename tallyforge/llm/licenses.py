@@ -36,6 +36,26 @@ NOTICES = {
     "creative commons attribution": "cc-by",
     "dedicated to the public domain": "public-domain",
     "all rights reserved": "reserved",
+    "permission is hereby granted free of charge": "mit",
+    "redistribution and use in source and binary forms": "bsd",
+    "licensed under the apache license": "apache-2",
+    "licensed under the mit license": "mit",
+    "gnu general public license": "gpl",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "sil open font license": "ofl",
+    "python software foundation license": "psf",
+    "microsoft public license": "ms-pl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "artistic license": "artistic",
+    "the unlicense": "unlicense",
+    "zlib license": "zlib",
+    "open database license": "odbl",
 }
 TAG = "spdx license identifier"
 #: Identifiers whose label isn't their lower-case form.

@@ -223,7 +223,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id, length and ids (little-endian unsigned 32-bit) of whole sequences, from what pack gives with_ids."""
+    """sequence_id, length and ids (little-endian unsigned 32-bit) of whole sequences, from what pack gives with_ids; no rows from none."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("parts")).select("sequence_id", "length", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 

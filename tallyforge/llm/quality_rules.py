@@ -19,8 +19,8 @@ SIGNS = "#*$%&|<>"
 WINDOW = 5
 #: Labelled rows of each class that rules are learned from, about.
 ROWS = 3_000
-#: Rules at most, conditions of a rule at most, share of bad rows among those that a rule takes (grown, and held out).
-RULES, CONDITIONS, PURE = 24, 4, 0.95
+#: Share of bad rows among those that a rule takes (grown, and held out).
+PURE = 0.95
 #: Statistics that conditions are on.
 STATISTICS = ("n_words", "mean_word", "sign_share", "dup_line_share", "repeat_share", "upper_share", "mark_share")
 
@@ -107,7 +107,7 @@ def _grow(x: np.ndarray, bad: np.ndarray) -> Rule:
     """Add the condition of most information gained, until only bad rows are taken or nothing is gained."""
     rule: Rule = []
     inside = np.ones(len(x), bool)
-    while len(rule) < CONDITIONS:
+    while True:
         p, n = int((inside & bad).sum()), int((inside & ~bad).sum())
         if not p or not n:
             break
@@ -156,15 +156,14 @@ def _prune(rule: Rule, grown: tuple, held: tuple) -> Rule:
 def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
     """Sequential covering: grow a rule on two thirds of the rows, prune it on the rest, keep it if it is pure on both, take out what it covers, go on.
 
-    Bad rows that only an impure rule would cover are set aside.
+    Bad rows that only an impure rule would cover are set aside, so every round
+    settles some and the list ends by itself.
     """
     rules: list[Rule] = []
     held = np.arange(len(x)) % 3 == 2
     left = np.ones(len(x), bool)
-    for _ in range(2 * RULES):
+    while (left & ~held & bad).any():
         grown, rest = left & ~held, left & held
-        if len(rules) == RULES or not (grown & bad).any():
-            break
         rule = _grow(x[grown], bad[grown])
         if not rule:
             break

@@ -17,6 +17,8 @@ from tallyforge.llm.common import boxed, stored, table
 
 #: Bytes on either side that a cut's hash is the largest among: chunks have RADIUS + 1 bytes at least, twice as many on average.
 RADIUS = 24
+#: Bytes of a chunk at most, about: a periodic stretch has no largest hash and is cut this often from its start on.
+MOST = 1024
 #: Bytes that the rolling hash sees (a doubling of 1).
 SEEN = 16
 #: Bytes of neighbouring repeated chunks from which they are a repeated passage.
@@ -40,7 +42,9 @@ def rolled(data: np.ndarray, table_: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, table_: np.ndarray) -> np.ndarray:
     """Places after which a chunk ends: the hash there is larger than at the RADIUS places before and after.
 
-    Ties go to the later place, so equal hashes in a row cut nothing until they end.
+    Ties go to the later place, so equal hashes in a row cut nothing until
+    they end; what is longer than MOST is cut at every MOST bytes from its
+    start (or at the next start of a character).
     """
     n = len(data)
     if n <= RADIUS:
@@ -58,7 +62,15 @@ def cuts(data: np.ndarray, table_: np.ndarray) -> np.ndarray:
     before = np.zeros(n, np.uint32)
     before[RADIUS:] = ahead[: n - RADIUS]
     at = np.nonzero((h > after) & (h >= before))[0]
-    return at[(at >= RADIUS) & (at < n - RADIUS)] + 1
+    at = at[(at >= RADIUS) & (at < n - RADIUS)] + 1
+    ends = np.concatenate([[0], at, [n]])
+    long = np.flatnonzero(np.diff(ends) > MOST)
+    if len(long):
+        more = np.concatenate([np.arange(ends[i] + MOST, ends[i + 1], MOST) for i in long])
+        while (inside := (more < n) & (data[np.minimum(more, n - 1)] & 0xC0 == 0x80)).any():
+            more[inside] += 1
+        at = np.union1d(at, more[more < n])
+    return at
 
 
 def chunks(docs: DataFrame) -> DataFrame:

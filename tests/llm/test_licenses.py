@@ -1,3 +1,5 @@
+import random
+
 from tallyforge.llm import licenses as L
 
 
@@ -21,3 +23,15 @@ def test_scan():
         assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == plain(t)
     got = L.scan("// SPDX-License-Identifier: MIT OR GPL-3.0\nunder the mit license")
     assert got["base_labels"] == "mit" and got["labels"] == "gpl-3,mit" and got["allowed"] and 0.9 < got["score"] < 1
+
+
+def test_base_places_beside_a_plain_search():
+    r = random.Random(2)
+    pieces = ["under", "the", "mit", "license", "apache", "License", "version", "2", "cc", "BY", "nc", "cc-by-nc", "x", "é", "the mit license", "under the MIT"]
+    for _ in range(3000):
+        t = r.choice((" ", ", ", "-", "\n")).join(r.choice(pieces) for _ in range(r.randint(0, 25)))
+        got = L.scan(t)
+        assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == plain(t)
+        w = " " + " ".join(L.words(t)) + " "
+        assert got["base_labels"] == ",".join(sorted({x for p, x in L.BASE.items() if f" {p} " in w}))
+        assert set(filter(None, got["labels"].split(","))) == {x for p, x in (L.BASE | L.NOTICES).items() if f" {p} " in w}

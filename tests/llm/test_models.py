@@ -206,6 +206,27 @@ def test_rules():
     assert quality_rules.learn(x, np.zeros(900, bool)) == []
 
 
+def test_a_condition_is_the_best_of_all():
+    """The first condition of a rule beside all thresholds of all statistics, tried one by one."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        x = np.round(r.random((40, len(quality_rules.STATISTICS))), 1)
+        bad = r.random(40) < 0.3 + 0.5 * (x[:, 1] > 0.6)
+        if bad.all() or not bad.any():
+            continue
+        before = math.log2(bad.mean())
+        gains = []
+        for j in range(x.shape[1]):
+            v = np.unique(x[:, j])
+            for t in (v[1:] + v[:-1]) / 2:
+                for own in (x[:, j] <= t, x[:, j] >= t):
+                    p = (own & bad).sum()
+                    gains.append(p * (math.log2(p / own.sum()) - before) if p else 0)
+        own = quality_rules._takes(quality_rules._grow(x, bad)[:1], x)
+        p = (own & bad).sum()
+        assert abs(p * (math.log2(p / own.sum()) - before) - max(gains)) < 1e-9
+
+
 def test_rules_as_columns(docs, labels, texts):
     rules = quality_rules.train(docs, labels)
     got = {r.doc_id: r for r in quality_rules.judge(docs, rules).collect()}

@@ -23,6 +23,38 @@ def test_plan(seed):
     assert sum(bins.values()) <= sum(P.best_fit(lengths).values())
 
 
+def fewest(sizes, room):
+    """Bins that a best packing has, by trying all."""
+    best = len(sizes)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(sizes):
+            best = len(bins)
+            return
+        for i in {b: i for i, b in enumerate(bins)}.values():
+            if bins[i] + sizes[k] <= room:
+                place(k + 1, [*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_beside_the_best_packing():
+    r = random.Random(11)
+    over = 0
+    for _ in range(150):
+        sizes = [r.randint(1, 20) for _ in range(r.randint(0, 11))]
+        more = sum(P.improve(P.best_fit(Counter(sizes), 20), 20).values()) - fewest(sizes, 20)
+        assert 0 <= more <= 1
+        over += more
+    assert over <= 3
+
+
 def test_exchanges_empty_bins():
     # best fit needs three bins; one exchange leaves two
     start = Counter({(6, 3): 1, (5, 4): 1, (2,): 1})

@@ -50,11 +50,10 @@ def test_blocks_change_nothing(docs, texts, monkeypatch):
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], len(links[i])) for i in links}
 
 
-@pytest.mark.parametrize("block", (1, 3))
-def test_pivots_change_nothing(docs, texts, monkeypatch, block):
+def test_pivots_change_nothing(docs, texts, monkeypatch):
     """One of each class stays, with blocks so small that every bucket and group is compared with its first member."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 1)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
     root, _ = brute(texts)
     assert sorted(r.doc_id for r in jaccard_join.kept(docs).collect()) == [i for i in root if root[i] == i]
 
@@ -95,6 +94,8 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in [*range(1, 21), 100]} | {i: 21 for i in range(21, 41)} | {60: 60, 61: 60}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    odd = [(None, 1), (2, None), (None, None), (3, 3), (4, 5), (4, 5)]
+    assert {r.node: r.root for r in components(spark.createDataFrame(odd, "a long, b long")).collect()} == {4: 4, 5: 4}
 
 
 def test_passages(docs, texts):
@@ -127,6 +128,34 @@ def test_chunks_join_to_texts_and_resist_shifts(docs, texts):
         assert held[0][0] == 0 and all(s + n == s2 for (s, n), (s2, _) in zip(held, held[1:])) and sum(held[-1]) == len(t.encode())
 
 
+def test_periodic_stretches_are_cut_from_their_start(spark):
+    own = substring_dedup.gear()
+    for unit in (b"word ", b"ab", b"x", "é ".encode()):
+        for lead in (b"", b"something else before it, "):
+            data = lead + unit * 4000
+            at = substring_dedup.cuts(np.frombuffer(data, np.uint8), own)
+            sizes = np.diff([0, *at, len(data)])
+            assert sizes.max() <= substring_dedup.MOST + 4 and (np.diff(at) > 0).all()
+            b"".join(data[a:b] for a, b in zip([0, *at], [*at, len(data)])).decode()
+            [data[a:b].decode() for a, b in zip([0, *at], [*at, len(data)])]
+    docs = spark.createDataFrame([(1, "first, then " + "over and " * 2000), (2, "second, then " + "over and " * 2000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got[2].n_repeated > 0.9 * got[2].n_bytes
+
+
+def test_repeated_passages_of_any_text(spark):
+    """Every passage of fifty words that stands in two texts is marked in the later one, whatever stands around it."""
+    r = random.Random(21)
+    rows = []
+    for i in range(300):
+        passage = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(51))
+        around = lambda: " ".join("".join(r.choice("klmnopqrst") for _ in range(r.randint(2, 8))) for _ in range(r.randint(0, 30)))
+        rows += [(2 * i, f"{around()} {passage} {around()}"), (2 * i + 1, f"{around()} {passage} {around()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = {x.doc_id for x in substring_dedup.repeated_passages(docs).where("repeated").collect()}
+    assert marked == {2 * i + 1 for i in range(300)}
+
+
 def test_cleaning_takes_out_the_passage(spark):
     passage = " ".join(f"word{i}" for i in range(80))
     docs = spark.createDataFrame([(1, f"first text {passage} end of it"), (2, f"é second {passage} last words"), (3, None)], "doc_id long, text string")
