@@ -32,9 +32,11 @@ def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def impersonal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind, n_chars counted anew."""
+    """All documents, personal data replaced by its kind, n_chars (where there is one) counted anew; null texts stay null."""
     out = personal_data.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
