@@ -11,6 +11,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import pairwise
 from operator import sub
 
 import numpy as np
@@ -38,16 +39,17 @@ class _NotAlone(Exception):
 
 
 class Words(dict):
-    """word -> value of ' ' + word, remembered: one(piece) if that is a piece, else many(text).
+    """word -> value of ' ' + word, remembered: one(piece) if that is a piece, else put together from pieces, else many(text).
 
-    The dictionary itself holds the first words, later those that came after;
-    when later is full it starts anew, so the common words are never lost and
-    a worker's memory has a bound of some 35 MB.
+    The dictionary itself holds the first words, later the single pieces that
+    came after; when later is full it starts anew, so the common words are
+    never lost and a worker's memory has a bound of some 35 MB.  line is the
+    value of a line's end between two words.
     """
 
-    def __init__(self, one, many, signed=None):
+    def __init__(self, one, many, line):
         super().__init__()
-        self.one, self.many, self.signed = one, many, signed or one
+        self.one, self.many, self.line = one, many, line
         self.signs: dict = {}
         self.later: dict = {}
 
@@ -57,26 +59,40 @@ class Words(dict):
             return value
         if word.isalpha():
             value = self.one(" " + word)
+            if len(word) <= LONG and len(self) >= FIRST:
+                if len(self.later) >= LATER:
+                    self.later.clear()
+                self.later[word] = value
         elif (parts := SIGNED(word)) and parts[1].isalpha():
-            stem, signs = parts.groups()
-            if signs not in self.signs:
-                if len(signs) > LONG or len(self.signs) > LATER // 10:
-                    return self[stem] + self.signed(signs)
-                self.signs[signs] = self.signed(signs)
-            value = self[stem] + self.signs[signs]
+            value = self[parts[1]] + self._signs(parts[2])
         elif not word or word[0].isspace() or word[-1].isspace():
             raise _NotAlone
+        elif "\n" in word and not any(not x or x[0].isspace() or x[-1].isspace() for x in word.split("\n")):
+            first, *rest = word.split("\n")
+            value = self[first]
+            for x in rest:
+                value += self.line + self._bare(x)
         else:
             value = self.many(" " + word)
-        if len(word) <= LONG:
-            if len(self) < FIRST:
-                self[word] = value
-            else:
-                if len(self.later) >= LATER:
-                    self.later.clear()
-                self.later[word] = value
+        if len(word) <= LONG and len(self) < FIRST:
+            self[word] = value
+        return value
+
+    def _signs(self, signs):
+        value = self.signs.get(signs)
+        if value is None:
+            value = self.one(signs)
+            if len(signs) <= LONG and len(self.signs) <= LATER // 10:
+                self.signs[signs] = value
         return value
 
+    def _bare(self, word):
+        """Value of a word without a blank before it."""
+        if word.isalpha():
+            return self.one(word)
+        parts = SIGNED(word)
+        return self.one(parts[1]) + self._signs(parts[2]) if parts and parts[1].isalpha() else self.many(word)
+
 
 class Bpe:
     """The encoder of one vocabulary file (byte-level BPE in the JSON format)."""
@@ -100,9 +116,9 @@ class Bpe:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pairs: dict[int, bool] = {}
         self.known: dict[bytes, list[int]] = {}
-        self.words = Words(lambda s: self.pack(self.core.encode_single_piece(s.encode())), lambda s: self.pack(self.core.encode_ordinary(s)))
-        self.totals = Words(self.size, lambda s: sum(map(self.size, self.find(s))))
-        self.steps_of = Words(self._piece_steps, lambda s: self._steps(self._plain_prefixes(s)))
+        self.words = Words(lambda s: self.pack(self.core.encode_single_piece(s.encode())), lambda s: self.pack(self.core.encode_ordinary(s)), self.pack(self.core.encode_ordinary("\n")))
+        self.totals = Words(self.size, lambda s: sum(map(self.size, self.find(s))), self.size("\n"))
+        self.steps_of = Words(self._piece_steps, lambda s: self._steps(self._plain_prefixes(s)), self._piece_steps("\n"))
 
     @staticmethod
     def pack(ids) -> bytes:
@@ -225,7 +241,7 @@ class Bpe:
     def _piece_steps(self, piece: str) -> bytes:
         if piece.isascii():
             states = self.prefixes(piece.encode())
-            return array("b", [(b >> 20) - (a >> 20) for a, b in zip(states, states[1:])]).tobytes()
+            return array("b", [(b >> 20) - (a >> 20) for a, b in pairwise(states)]).tobytes()
         return self._steps(self.table(piece))
 
     def steps(self, text: str) -> bytes:

@@ -11,7 +11,7 @@ def test_prefix_counts_equal_the_library():
     path = vocabulary()
     coder, library = bpe.load(path), Tokenizer.from_file(path)
     r = random.Random(1)
-    cases = ["", " ", "a  b", "a \n b ", "don't 're'll x'r", "<|endoftext|>x<|endoftext|> y", "<|endo", "日本語 ñandú 🙂🙂  é", "'s've", "a" * 200, " " * 70 + "x", "x'llama"]
+    cases = ["", " ", "a  b", "a \n b ", "don't 're'll x'r", "<|endoftext|>x<|endoftext|> y", "<|endo", "日本語 ñandú 🙂🙂  é", "'s've", "a" * 200, " " * 70 + "x", "x'llama", "a b.\nCd e\nf", "a b\n c", "a b\n\nc d", "a \nb", "a b\n's c", "a b\n1x!\ny z", "a b\t\nc d"]
     cases += ["".join(r.choice("ab '\n\t<|>endoftx1é.sr l v ") for _ in range(r.randint(1, 40))) for _ in range(400)]
     for s in cases:
         ids = library.encode(s, add_special_tokens=False).ids
