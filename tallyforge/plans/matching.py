@@ -105,10 +105,13 @@ def token_weights(spark, d):
 @query("idf_candidates", BASE + """, t AS (SELECT DISTINCT supplier_id, item_key, unnest(string_split(norm, ' ')) AS token FROM cn), f AS (SELECT supplier_id, token, count(*) AS df FROM t GROUP BY 1, 2), n AS (SELECT supplier_id, count(*) AS n FROM cn GROUP BY 1),
 w AS (SELECT supplier_id, token, ln(n / df) AS weight FROM f JOIN n USING (supplier_id) WHERE df <= greatest(50, n // 5)), lt AS (SELECT DISTINCT supplier_id, line_id, unnest(string_split(norm, ' ')) AS token FROM l),
 m AS (SELECT line_id, item_key, sum(weight) AS weight FROM lt JOIN w USING (supplier_id, token) JOIN t USING (supplier_id, token) GROUP BY 1, 2),
-r AS (SELECT line_id, item_key, row_number() OVER (PARTITION BY line_id ORDER BY round(weight, 6) DESC, item_key) AS r FROM m)
-SELECT line_id, item_key FROM r WHERE r <= 5 UNION SELECT line_id, item_key FROM l JOIN cn USING (supplier_id, norm)""")
+r AS (SELECT line_id, item_key, row_number() OVER (PARTITION BY line_id ORDER BY round(weight, 6) DESC, item_key) AS r FROM m),
+u AS (SELECT line_id, item_key FROM r WHERE r <= 250 UNION SELECT line_id, item_key FROM l JOIN cn USING (supplier_id, norm))
+SELECT line_id, count(*) AS candidates, md5(string_agg(item_key, ',' ORDER BY item_key)) AS items_md5 FROM u GROUP BY 1""")
 def idf_candidates(spark, d):
-    return M.candidates(lines(spark, d).select("line_id", "supplier_id", "norm"), items(spark, d).select("item_key", "supplier_id", "norm"), 5)
+    """All candidates of each line, as their number and a digest of their keys."""
+    found = M.candidates(lines(spark, d).select("line_id", "supplier_id", "norm"), items(spark, d).select("item_key", "supplier_id", "norm"))
+    return found.groupBy("line_id").agg(F.count("*").alias("candidates"), F.md5(F.array_join(F.array_sort(F.collect_list("item_key")), ",").cast("binary")).alias("items_md5"))
 
 
 def _attributed(df):

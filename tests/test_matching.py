@@ -85,8 +85,51 @@ def test_registered_matching_equals_brute_force(spark, monkeypatch):
 
 def test_large_scopes_are_pruned(spark, monkeypatch):
     monkeypatch.setattr(M, "SMALL", 3)
-    items = [(f"k{i}", "S", f"tea {i}") for i in range(4)] + [(f"t{i}", "T", f"tea {i}") for i in range(3)]
-    its = spark.createDataFrame(items, "item_key string, supplier_id string, norm string")
-    ls = spark.createDataFrame([("a", "S", "tea 1"), ("b", "T", "tea 1"), ("c", "T", "zzz")], "line_id string, supplier_id string, norm string")
-    got = sorted((r.line_id, r.item_key) for r in M.compared(ls, its, 1).collect())
-    assert got == [("a", "k1"), ("b", "t0"), ("b", "t1"), ("b", "t2"), ("c", "t0"), ("c", "t1"), ("c", "t2")]
+    monkeypatch.setattr(M, "TEXTS", 1)
+    items = [(f"k{i}", f"R{i}", "S", f"tea {i}", [], [], [], None) for i in range(4)] + [(f"t{i}", f"R{i}", "T", f"tea {i}", [], [], [], None) for i in range(3)]
+    lines = [("a", "S", "tea 1", [], [], [], None), ("b", "T", "tea 1", [], [], [], None), ("c", "T", "zzz", [], [], [], None), ("d", "S", None, [], [], [], None)]
+    found = M.bundles(spark.createDataFrame(lines, LINE), spark.createDataFrame(items, ITEM), 1).collect()
+    got = sorted((r.supplier_id, t.norm, i.item_key) for r in found for t in r["texts"] for i in r["items"])
+    # a supplier of three items is compared whole, one of four by the heaviest shared words and equal texts
+    assert got == [("S", "tea 1", "k1"), *[("T", t, f"t{i}") for t in ("tea 1", "zzz") for i in range(3)]]
+
+
+def test_ranks_equal_all_pairs(spark, monkeypatch):
+    """Ranks, the best other score and decisions beside a plain comparison of every line with every item of its supplier."""
+    import random
+
+    from tallyforge.functions.unicode import similarity
+
+    r = random.Random(3)
+    some = lambda p, *x: [r.choice(x)] if r.random() < p else []
+    words = "red blue serum mist cream box soft ml 50 100 night day".split()
+    text = lambda: " ".join(r.choice(words) for _ in range(r.randint(1, 5)))
+    items = [(f"k{i:03}", f"R{i % 40:02}", r.choice("STU"), text(), some(0.5, "a", "b"), some(0.3, 1, 2), some(0.1, "x"), r.choice(("EACH", "PACK", None))) for i in range(150)]
+    lines = [(f"l{i}", r.choice(["S", "T", "U", "V", None]), r.choice([text(), items[i][3]]) if i % 30 else None, some(0.5, "a", "b"), some(0.3, 1, 2), some(0.1, "x"), r.choice(("EACH", "PACK", None))) for i in range(90)]
+    ls, its = spark.createDataFrame(lines, LINE), spark.createDataFrame(items, ITEM)
+    want = {}
+    for line in lines:
+        scope = [x for x in items if x[2] == line[1]]
+        silent = len({x[7] or "" for x in scope}) == 1
+        rows = []
+        for x in scope if line[2] is not None else []:
+            pairs = list(zip(line[3:6], x[4:7]))
+            conflict = any(a and b and a != b for a, b in pairs) or bool(line[6] and x[7] and line[6] != x[7])
+            unknown = any(bool(a) != bool(b) for a, b in pairs) or (line[6] is None) != (x[7] is None) and not silent
+            exact = line[2] == x[3]
+            raw = min(100.0 if exact else similarity(line[2], x[3]), 45.0 if conflict else 100.0)
+            rows.append((-raw, -min(raw, 92.0) if unknown and not conflict and not exact else -raw, x[1], x[0]))
+        want[line[0]] = sorted(rows)
+    for small in (2_000, 0):
+        monkeypatch.setattr(M, "SMALL", small)
+        got = {}
+        for x in M.ranked(ls, its).collect():
+            got.setdefault(x.line_id, []).append(x)
+        if small:
+            assert {k for k, v in want.items() if v} == set(got)
+            for k, v in got.items():
+                v.sort(key=lambda x: x.rank)
+                assert [(-x.raw, -x.score, x.rms_item_id, x.item_key) for x in v[:5]] == want[k][:5]
+                assert v[0].others == max((-x[1] for x in want[k][1:]), default=0.0)
+        else:  # by shared rare words: a part of all pairs, ranked alike
+            assert got and all(set((x.item_key) for x in v) <= {x[3] for x in want[k]} for k, v in got.items())
