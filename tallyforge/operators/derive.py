@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Legal forms that a seller's name has.
-FORMS = r"(?i)\b(?:L\.?L\.?C|LTD|LIMITED|INC|CORP(?:ORATION)?|PLC|FZE|FZC|WLL|GMBH|S\.?A)\b"
-COMPANY = r"(?i)\b(?:company|co|l\.?l\.?c|ltd|limited|inc|corp(?:oration)?|plc|fze|fzc|wll|gmbh|s\.?a)\b"
+from tallyforge.functions import text as T
+from tallyforge.sources.documents import NAMED
+
+# Legal forms that a seller's name has, words of other companies, words of a buyer's line.
+FORMS = ("LLC", "LTD", "LIMITED", "INC", "CORP", "CORPORATION", "PLC", "FZE", "FZC", "WLL", "GMBH", "SA")
+COMPANIES = ("COMPANY", "CO")
+BUYERS = ("CLIENT", "CUSTOMER", "BUYER", "BILL", "DELIVER", "SHIP")
+# What stands over a buyer's address, and titles of an invoice.
+BILLED = ("BILL TO", "INVOICE TO", "SOLD TO")
+TITLES = ("INVOICE", "TAX INVOICE", "COMMERCIAL INVOICE", "SALES INVOICE", "CREDIT INVOICE")
+# Letters that recognition takes digits for.
+MISREAD = {"O": "0", "o": "0", "I": "1", "i": "1", "l": "1", "T": "1"}
 # What makes a recognised page worth more than another.
 EVIDENCE = ("invoice", "invoice no", "description", "qty", "quantity", "unit price", "gross", "net", "subtotal", "total", "currency")
 
@@ -20,14 +29,15 @@ def net_price(unit_price: Column, net: Column, gross: Column, basis: Column, tot
 
 def repaired_quantity(printed: Column, rate: Column, total: Column) -> Column:
     """A misread quantity, if total over rate is a whole number that the print is one misreading away from; null if it is right already or can't be proved."""
-    quotient = F.try_divide(total.cast("decimal(18,4)"), rate.cast("decimal(18,4)"))
-    whole = F.round(quotient, 0).cast("long")
-    proved = (rate > 0) & (total >= 0) & (whole > 0) & (F.abs(quotient - whole) <= 0.000001)
-    compact = F.regexp_replace(F.coalesce(printed, F.lit("")), "[^A-Za-z0-9]", "")
-    read, digits = F.translate(compact, "OoIilT", "001111"), F.regexp_replace(compact, "[^0-9]", "")
-    right = F.coalesce(printed.try_cast("decimal(18,4)") * rate.cast("decimal(18,4)") == total.cast("decimal(18,4)"), F.lit(False))
-    near = (read == whole.cast("string")) | (digits != "") & (F.levenshtein(digits, whole.cast("string")) <= 1)
-    return F.when(proved & ~right & near, whole)
+    price, amount = rate.cast("decimal(18,4)"), total.cast("decimal(18,4)")
+    exact = F.try_divide(amount, price)
+    proved = F.when((price > 0) & (amount >= 0) & (F.abs(exact - F.round(exact, 0)) <= 0.000001), F.nullif(F.round(exact, 0).cast("long"), F.lit(0).cast("long")))
+    signs = F.regexp_replace(F.coalesce(printed, F.lit("")), "[^A-Za-z0-9]", "")
+    as_digits = F.translate(signs, "".join(MISREAD), "".join(MISREAD.values()))
+    only_digits = F.nullif(F.regexp_replace(signs, "[^0-9]", ""), F.lit(""))
+    misread = (as_digits == proved.cast("string")) | F.coalesce(F.levenshtein(only_digits, proved.cast("string")) <= 1, F.lit(False))
+    right = F.coalesce(printed.try_cast("decimal(18,4)") * price == amount, F.lit(False))
+    return F.when(misread & ~right, proved)
 
 
 def derived_totals(invoices: DataFrame, lines: DataFrame) -> DataFrame:
@@ -47,31 +57,45 @@ def derived_totals(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce("subtotal", difference).cast("decimal(18,2)").alias("subtotal"), known.alias("subtotal_from"), "tax_total", "tax_from")
 
 
-def _tidy(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(line, r"[^\x00-\x7F]+", " "), r"\s+", " "), F.lit(" |:-"))
+def seller(text: Column) -> Column:
+    """Seller's name in the first 60 lines of a page.
 
+    The nearest line with a legal form up to four lines over a buyer's address
+    ("bill to"), else the nearest of a company up to three lines over the
+    invoice's title, unless it names a buyer.  Null if there is none.
+    """
+    ascii_ = lambda x: F.btrim(F.regexp_replace(x, r"[^\x21-\x7E]+", " "), F.lit(" |:-"))
+    lines = F.transform(F.slice(F.split(text, "\n"), 1, 60), lambda x: F.struct(ascii_(x).alias("line"), T.upper_words(x).alias("words")))
+    says = lambda x: F.concat(F.lit(" "), F.array_join(x["words"], " "), F.lit(" "))
+    has = lambda x, words: F.arrays_overlap(x["words"], F.array(*map(F.lit, words)))
+    size = lambda x, least: F.length(x["line"]).between(least, 160)
 
-def _before(lines: Column, at: Column, reach: int, ok) -> Column:
-    """The nearest line of up to reach lines before place at (from 1) that is ok."""
-    start = F.greatest(at - reach, F.lit(1))
-    near = F.reverse(F.slice(lines, start, at - start))
-    return F.when(at > 1, F.get(F.filter(near, ok), F.lit(0)))
+    def nearest(marked, reach, ok):
+        at = F.array_position(F.transform(lines, marked), True)  # from 1; 0 if no line is marked
+        above = F.filter(lines, lambda x, i: (i + 1 < at) & (i + 1 >= at - reach) & ok(x))
+        return F.try_element_at(above, F.lit(-1))["line"]
 
+    address = nearest(lambda x: sum((says(x).contains(f" {p} ").cast("int") for p in BILLED), F.lit(0)) > 0, 4, lambda x: has(x, FORMS) & size(x, 1))
+    title = nearest(lambda x: F.array_join(x["words"], " ").isin(*TITLES), 3, lambda x: has(x, FORMS + COMPANIES) & ~has(x, BUYERS) & size(x, 3))
+    return F.coalesce(address, title)
 
-def seller(text: Column) -> Column:
-    """Seller's name: a line with a legal form up to four lines above a "bill to", else a company's line up to three above the invoice title; buyers' lines are none."""
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 60), _tidy)
-    place = lambda ok: F.array_position(F.transform(lines, ok), True)
-    billed = place(lambda x: x.rlike(r"(?i)\b(?:bill|invoice|sold) to\b"))
-    titled = place(lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")).rlike("^(?:(?:tax|commercial|sales|credit) )?invoice$"))
-    legal = _before(lines, billed.cast("int"), 4, lambda x: x.rlike(FORMS) & (F.length(x) <= 160))
-    company = _before(lines, titled.cast("int"), 3, lambda x: x.rlike(COMPANY) & F.length(x).between(3, 160) & ~x.rlike(r"(?i)\b(?:client|customer|buyer|bill|deliver|ship)\b"))
-    return F.coalesce(legal, company)
+
+def heading_strength(text: Column) -> Column:
+    """Two for each named column of the page's best table heading, five more if it has a unit price; 0 without a heading.
+
+    A heading's cells stand two blanks apart; it names a description and two
+    other columns.
+    """
+    cells = lambda x: F.transform(F.split(F.trim(x), r"\s{2,}|\t"), lambda c: T.lookup(NAMED, F.regexp_replace(F.lower(c), "[^a-z]", "")))
+    fields = F.transform(F.split(text, "\n"), lambda x: F.array_distinct(F.array_compact(cells(x))))
+    headings = F.filter(fields, lambda f: F.array_contains(f, "description") & (F.size(f) >= 3))
+    worth = F.transform(headings, lambda f: F.size(f) * 2 + F.when(F.array_contains(f, "unit_price"), 5).otherwise(0))
+    return F.coalesce(F.array_max(worth), F.lit(0))
 
 
 def page_worth(text: Column, confidence: Column) -> Column:
-    """Worth of a recognised page: confidence, three for each term that an invoice has, a quarter for each of up to twenty rows of three numbers."""
-    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    terms = sum((F.when(plain.contains(t), 3.0).otherwise(0.0) for t in EVIDENCE), F.lit(0.0))
-    rows = F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(r"[0-9][0-9,.]*")) >= 3))
-    return F.coalesce(confidence, F.lit(0.0)) + terms + F.least(rows, F.lit(20)) * 0.25
+    """Worth of a recognised page: its confidence, three for each term that invoices have, a quarter for each of up to twenty rows of three numbers, and the strength of its table's heading."""
+    said = F.array_join(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), " ")
+    terms = F.size(F.filter(F.array(*map(F.lit, EVIDENCE)), lambda t: said.contains(t)))
+    figures = F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(r"[0-9][0-9,.]*")) >= 3))
+    return F.coalesce(confidence, F.lit(0.0)) + terms * 3.0 + F.least(figures, F.lit(20)) * 0.25 + heading_strength(text)

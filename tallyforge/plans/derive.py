@@ -50,8 +50,8 @@ def seller_names(spark, d):
     return R.read(spark, d, "documents").select("doc_id", D.seller(page).alias("seller"))
 
 
-@query("page_worths", "SELECT doc_id, CAST(50.0 + 3.0 * (CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 0 END) + CASE doc_id % 3 WHEN 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS worth FROM documents")
+@query("page_worths", "SELECT doc_id, CAST(50.0 + 3.0 * (CASE doc_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 1 WHEN 3 THEN 5 ELSE 0 END) + CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 3 THEN 13.25 ELSE 0 END AS DOUBLE) AS worth FROM documents")
 def page_worths(spark, d):
-    k = F.col("doc_id") % 3
-    page = F.when(k == 0, "Invoice No: 7\nQty\n1 2.5 3\n4 5 6\nSub-Total\n").when(k == 1, "NET 5").otherwise("x")
+    k = F.col("doc_id") % 4
+    page = F.when(k == 0, "Invoice No: 7\nQty\n1 2.5 3\n4 5 6\nSub-Total\n").when(k == 1, "NET 5").when(k == 3, "Quantity   Description\n Description   Qty   Unit Price   Net Amount\nMist   2   1.50   3.00").otherwise("x")
     return R.read(spark, d, "documents").select("doc_id", D.page_worth(page, F.lit(50.0)).alias("worth"))

@@ -47,6 +47,41 @@ def test_text(spark):
     assert one(spark, text.sizes(text.match_text(F.lit("Serum 50ml 1l")))) == ["volume_ml:1000000", "volume_ml:50000"]
 
 
+@pytest.mark.parametrize(
+    ("given", "sizes", "packs", "shades"),
+    [
+        ("serum 3 50ml", ["volume_ml:50000"], [], []),
+        ("Oil 1.5 l", ["volume_ml:5000000"], [], []),
+        ("Cream 12 fl oz 2 oz 7cl", ["fluid_oz:12000", "volume_ml:70000", "weight_oz:2000"], [], []),
+        ("Tea pack of 20 2kg box 3", ["weight_g:2000000"], [3, 20], []),
+        ("6PK soda 4 x 330ml case of", ["volume_ml:330000"], [4, 6], []),
+        ("Lipstick shade no 12 colour red", [], [], ["color:red", "shade:12"]),
+        ("shade no", [], [], ["shade:no"]),
+        ("color shade 5", [], [], ["shade:5"]),
+        ("no size of 50 mlx", [], [], []),
+        (None, None, None, None),
+    ],
+)
+def test_attributes(spark, given, sizes, packs, shades):
+    norm = text.match_text(F.lit(given).cast("string"))
+    assert (one(spark, text.sizes(norm)), one(spark, text.packs(norm)), one(spark, text.shades(norm))) == (sizes, packs, shades)
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [("Desert Beauty Trading L.L.C", "DESERTBEAUTY"), ("Gulf Star FZ-LLC", "GULFSTAR"), ("FZ Brands", "FZBRANDS"), ("Coral S.A.", "CORAL"), ("Étoile 7 GmbH & Co.", "TOILE"), (None, ""), ("Company Ltd", "")],
+)
+def test_name_keys(spark, given, want):
+    assert one(spark, text.name_key(F.lit(given).cast("string"))) == want
+
+
+def test_repaired_quantities(spark):
+    from tallyforge.operators.derive import repaired_quantity
+
+    fixed = lambda printed, rate, total: one(spark, repaired_quantity(F.lit(printed).cast("string"), F.lit(rate).cast("decimal(18,4)"), F.lit(total).cast("decimal(18,4)")))
+    assert [fixed("l0", "2.00", "20.00"), fixed("37", "5", "100"), fixed("21", "5", "100"), fixed("20", "5", "100"), fixed("20", "0", "0"), fixed(None, "5", "100"), fixed("2O", "3", "100")] == [10, None, 20, None, None, None, None]
+
+
 def test_similarity():
     assert unicode.similarity("a b", "a b") == 100.0 and unicode.similarity("", "a") == 0.0
     assert unicode.similarity("red widget 50 ml", "widget red 50 ml") > 60
