@@ -70,14 +70,17 @@ def seller(text: Column) -> Column:
     has = lambda x, words: F.arrays_overlap(x["words"], F.array(*map(F.lit, words)))
     size = lambda x, least: F.length(x["line"]).between(least, 160)
 
-    def nearest(marked, reach, ok):
-        at = F.array_position(F.transform(lines, marked), True)  # from 1; 0 if no line is marked
-        above = F.filter(lines, lambda x, i: (i + 1 < at) & (i + 1 >= at - reach) & ok(x))
-        return F.try_element_at(above, F.lit(-1))["line"]
+    def nearest(page, marked, reach, ok):
+        # the mark's place from 1; 0 if no line is marked
+        above = lambda at: F.filter(page, lambda x, i: (i + 1 < at) & (i + 1 >= at - reach) & ok(x))
+        return F.try_element_at(T.let(F.array_position(F.transform(page, marked), True), above), F.lit(-1))["line"]
 
-    address = nearest(lambda x: sum((says(x).contains(f" {p} ").cast("int") for p in BILLED), F.lit(0)) > 0, 4, lambda x: has(x, FORMS) & size(x, 1))
-    title = nearest(lambda x: F.array_join(x["words"], " ").isin(*TITLES), 3, lambda x: has(x, FORMS + COMPANIES) & ~has(x, BUYERS) & size(x, 3))
-    return F.coalesce(address, title)
+    def found(page):
+        address = nearest(page, lambda x: sum((says(x).contains(f" {p} ").cast("int") for p in BILLED), F.lit(0)) > 0, 4, lambda x: has(x, FORMS) & size(x, 1))
+        title = nearest(page, lambda x: F.array_join(x["words"], " ").isin(*TITLES), 3, lambda x: has(x, FORMS + COMPANIES) & ~has(x, BUYERS) & size(x, 3))
+        return F.coalesce(address, title)
+
+    return T.let(lines, found)
 
 
 def heading_strength(text: Column) -> Column:
@@ -96,6 +99,6 @@ def heading_strength(text: Column) -> Column:
 def page_worth(text: Column, confidence: Column) -> Column:
     """Worth of a recognised page: its confidence, three for each term that invoices have, a quarter for each of up to twenty rows of three numbers, and the strength of its table's heading."""
     said = F.array_join(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), " ")
-    terms = F.size(F.filter(F.array(*map(F.lit, EVIDENCE)), lambda t: said.contains(t)))
+    terms = T.let(said, lambda words: F.size(F.filter(F.array(*map(F.lit, EVIDENCE)), lambda t: words.contains(t))))
     figures = F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_count(x, F.lit(r"[0-9][0-9,.]*")) >= 3))
     return F.coalesce(confidence, F.lit(0.0)) + terms * 3.0 + F.least(figures, F.lit(20)) * 0.25 + heading_strength(text)

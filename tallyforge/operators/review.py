@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.money import MONEY, money_equal
@@ -131,19 +131,25 @@ def reasons(header: DataFrame, line: DataFrame) -> DataFrame:
 
 
 def exception_queue(reasons_: DataFrame, invoices: DataFrame, now: Column, first: int = 100) -> DataFrame:
-    """Groups by reason: invoices, the oldest and its age in days, owner and place, most first.
+    """Groups by reason: invoices, the oldest and its age in days, owner and place, and the ids of the first members, oldest first; most invoices first.
 
-    invoices(id, created_at).
+    invoices(id, created_at).  A reason that isn't registered is an error.  The
+    members of a group are ranked with a limit for each task before they meet.
     """
     spark = reasons_.sparkSession
     registry = spark.createDataFrame([(i, *r) for i, r in enumerate(REASONS)], "ord int, reason string, owner string, level string")
     age = F.datediff(now, F.to_date("created_at"))
     held = reasons_.join(invoices.select("id", "created_at"), "id")
-    groups = held.groupBy("reason").agg(F.count("*").alias("n"), F.max(age).alias("oldest_days"), F.min(F.struct("created_at", "id")).alias("first"))
-    return groups.join(F.broadcast(registry), "reason").select("reason", "owner", "level", "ord", "n", "oldest_days", F.col("first.id").alias("oldest_id"), (F.col("n") > first).alias("truncated"))
+    groups = held.groupBy("reason").agg(F.count("*").alias("n"), F.max(age).alias("oldest_days"), F.min(F.struct("created_at", "id")).alias("oldest"))
+    oldest = Window.partitionBy("reason").orderBy("created_at", "id")
+    members = held.withColumn("r", F.row_number().over(oldest)).where(F.col("r") <= first).groupBy("reason").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("members"))
+    known = groups.join(members, "reason").join(F.broadcast(registry), "reason", "left")
+    order = F.coalesce("ord", F.raise_error(F.concat(F.lit("no such reason: "), F.col("reason"))).cast("int"))
+    out = known.select("reason", "owner", "level", order.alias("ord"), "n", "oldest_days", F.col("oldest.id").alias("oldest_id"), F.array_join(F.transform("members", lambda m: m["id"].cast("string")), ",").alias("members"), (F.col("n") > first).alias("truncated"))
+    return out.orderBy(F.desc("n"), "reason")
 
 
-def touchless(trails: DataFrame, statuses=("ready",)) -> DataFrame:
+def touchless(trails: DataFrame, statuses=("ready", "exported")) -> DataFrame:
     """Share of trails that reached a state without a person's event beyond upload, approval and export.
 
     trails: events with invoice_id, event_type, actor, to_status; the

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,7 +13,13 @@ from tallyforge.streaming import intake as I
 
 
 def _shared(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tallyforge"
+    """A folder of its own below spark.checkpoint.dir; a local master may do without that setting, others must have it."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        at = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/intake-{uuid.uuid4().hex}"
 
 

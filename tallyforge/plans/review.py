@@ -55,8 +55,8 @@ def reason_codes(spark, d):
     return V.reasons(_header(spark, d), V.line_errors(_lines(spark, d)))
 
 
-@query("exception_queue", LN + HD + ", reg(ord, reason, owner, level) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(V.REASONS)) + """)
-SELECT reason, owner, level, ord, count(*) AS n, max(date_diff('day', CAST(created_at AS DATE), DATE '2002-01-01')) AS oldest_days, arg_min(rr.id, (created_at, rr.id)) AS oldest_id, count(*) > 100 AS truncated FROM rr JOIN inv ON inv.id = rr.id JOIN reg USING (reason) GROUP BY 1, 2, 3, 4""")
+@query("exception_queue", LN + HD + ", reg(ord, reason, owner, level) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(V.REASONS)) + """), q AS (SELECT reason, inv.id, created_at, row_number() OVER (PARTITION BY reason ORDER BY created_at, inv.id) AS r FROM rr JOIN inv ON inv.id = rr.id)
+SELECT reason, owner, level, ord, count(*) AS n, max(date_diff('day', CAST(created_at AS DATE), DATE '2002-01-01')) AS oldest_days, arg_min(id, r) AS oldest_id, string_agg(id, ',' ORDER BY r) FILTER (r <= 100) AS members, count(*) > 100 AS truncated FROM q JOIN reg USING (reason) GROUP BY 1, 2, 3, 4""")
 def exception_queue(spark, d):
     found = V.reasons(_header(spark, d), V.line_errors(_lines(spark, d)))
     return V.exception_queue(found, R.invoices(spark, d), F.lit("2002-01-01").cast("date"))
