@@ -245,14 +245,14 @@ def in_blocks(members: DataFrame, group: str, k) -> DataFrame:
     """members with block, and cell: what is compared together.  Of k blocks each meets each, so a member stands in k cells of two blocks (one where k is 1)."""
     cut = members.withColumn("block", block_of(1, k)).select("*", numbers(k).alias("other"))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return cut.withColumn("cell", F.xxhash64(group, low, high)).withColumn("own", low == high).drop("other")
+    return cut.withColumn("cell", F.xxhash64(group, low, high)).withColumn("own", low == high).withColumn("low", low).drop("other")
 
 
 @dataclass
 class Close:
-    """Which members are close: matrix(group) of all pairs of a group, rows(a, b) of each row of a with that of b."""
+    """Which members are close: matrix(group, allowed) of the allowed pairs (None: all) of a group, rows(a, b) of each row of a with that of b."""
 
-    matrix: Callable[[pa.Table], np.ndarray]
+    matrix: Callable[[pa.Table, np.ndarray | None], np.ndarray]
     rows: Callable[[pa.Table, pa.Table], np.ndarray]
 
 
@@ -268,28 +268,31 @@ def _verified_rows(a: pa.Table, b: pa.Table) -> np.ndarray:
     return out
 
 
-def _verified_pairs(group: pa.Table, near: np.ndarray | None = None) -> np.ndarray:
-    near = plausible(_signatures(group.column("sig"))) if near is None else near
-    return verified(near, [np.frombuffer(x, np.uint64) for x in group.column("x").to_pylist()])
+def _plausible_pairs(group: pa.Table, allowed: np.ndarray | None = None) -> np.ndarray:
+    near = plausible(_signatures(group.column("sig")))
+    return near if allowed is None else near & allowed
 
 
-PLAUSIBLE = Close(lambda group: plausible(_signatures(group.column("sig"))), _plausible_rows)
+def _verified_pairs(group: pa.Table, allowed: np.ndarray | None = None) -> np.ndarray:
+    return verified(_plausible_pairs(group, allowed), [np.frombuffer(x, np.uint64) for x in group.column("x").to_pylist()])
+
+
+PLAUSIBLE = Close(_plausible_pairs, _plausible_rows)
 VERIFIED = Close(_verified_pairs, _verified_rows)
 
 
 def within_cells(cells: DataFrame, close: Close) -> DataFrame:
-    """Edges (a, b) that join the members of each cell that chains of close pairs tie; with a column rest, only pairs with one of the rest count."""
+    """Edges (a, b) that join the members of each cell that chains of close pairs tie; in a cell that isn't own (with columns own, side) only pairs of different sides count."""
 
     def tie(batches):
         for group in runs(batches, "cell"):
-            first = np.unique(group.column("rep").to_numpy(), return_index=True)[1]  # one of both sides is one
-            if "rest" in group.column_names:
-                rest = np.isin(group.column("rep").to_numpy()[first], group.filter(group.column("rest")).column("rep").to_numpy())
+            first = np.unique(group.column("rep").to_numpy(), return_index=True)[1]  # repeated rows are one
             group = group.take(pa.array(first))
-            rep, near = group.column("rep").to_numpy(), close.matrix(group)
-            if "rest" in group.column_names:
-                near &= rest[:, None] | rest[None, :]
-            root = roots(near)
+            allowed = None
+            if "own" in group.column_names and not group.column("own")[0].as_py():
+                side = group.column("side").to_numpy()
+                allowed = side[:, None] != side[None, :]
+            rep, root = group.column("rep").to_numpy(), roots(close.matrix(group, allowed))
             at = np.nonzero(root != np.arange(len(root)))[0]
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[root[at]])], ["a", "b"])
 
@@ -302,8 +305,9 @@ def around_pivots(spark, members: DataFrame, details: DataFrame, close: Close) -
     members(grp, rep, k): k is the number of blocks of the group;
     details(rep, weight, ...): what close compares, and what a member weighs in
     blocks.  Every member is compared with the first one of its group; those
-    that aren't close to it, the rest, are compared with all members.  A group
-    of n near copies so takes n comparisons and no copies of its members.
+    that aren't close to it, the rest, are compared with each other and with
+    those that are, block by block.  A group of n copies of its first member so
+    takes n comparisons and no copies of its members.
     """
     columns = [c for c in details.columns if c != "rep"]
     full = members.join(details, "rep")
@@ -321,14 +325,18 @@ def around_pivots(spark, members: DataFrame, details: DataFrame, close: Close) -
 
     starred = stored(spark, met.mapInArrow(compare, "grp long, k long, rep long, weight long, first long, close boolean"), "starred")
     star = starred.where("close and rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    apart = starred.where("not close")
-    sizes = apart.groupBy("grp").agg(blocks(F.count("*"), F.sum("weight")).alias("parts"))
-    sizes = stored(spark, sizes, "rest")
+    far = ~F.col("close")
+    count = lambda of: blocks(F.count_if(of), F.coalesce(F.sum(F.when(of, F.col("weight"))), F.lit(0).cast("long")))
+    sizes = stored(spark, starred.groupBy("grp").agg(count(far).alias("parts"), count(~far).alias("stars")).where("parts > 0"), "rest")
     if sizes.isEmpty():
         return star
-    rest = apart.join(sizes, "grp").select("grp", "rep", block_of(2, F.col("parts")).alias("i"), numbers(F.col("k")).alias("j"), F.lit(True).alias("rest"))
-    every = starred.join(sizes, "grp").select("grp", "rep", numbers(F.col("parts")).alias("i"), block_of(1, F.col("k")).alias("j"), F.lit(False).alias("rest"))
-    cells = rest.unionByName(every).withColumn("cell", F.xxhash64("grp", "i", "j")).drop("grp", "i", "j")
+    sized = starred.join(sizes, "grp")
+    rest = in_blocks(sized.where(far), "grp", F.col("parts")).withColumn("side", (F.col("block") == F.col("low")).cast("int"))
+    i, j = block_of(1, F.col("parts")), block_of(1, F.col("stars"))
+    across = sized.where(far).select("grp", "rep", i.alias("i"), numbers(F.col("stars")).alias("j"), F.lit(0).alias("side"))
+    across = across.unionByName(sized.where(~far).select("grp", "rep", numbers(F.col("parts")).alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    across = across.select(F.xxhash64("grp", F.lit("across"), "i", "j").alias("cell"), F.lit(False).alias("own"), "side", "rep")
+    cells = rest.select("cell", "own", "side", "rep").unionByName(across)
     return star.unionByName(within_cells(cells.join(details, "rep"), close))
 
 
@@ -393,11 +401,11 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
             first = np.unique(group.column("rep").to_numpy(), return_index=True)[1]  # repeated rows are one
             group = group.take(pa.array(first))
             rep, copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
-            near = plausible(_signatures(group.column("sig")))
+            allowed = None
             if not group.column("own")[0].as_py():
                 block = group.column("block").to_numpy()
-                near &= block[:, None] != block[None, :]
-            near = _verified_pairs(group, near)
+                allowed = block[:, None] != block[None, :]
+            near = _verified_pairs(group, allowed)
             root = roots(near)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rep), pa.array(rep[root]), pa.array((near * copies[None, :]).sum(1).astype(np.int64)), pa.array(group.column("k").to_numpy() == 1)],
