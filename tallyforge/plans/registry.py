@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("worklist", "scalars", "derive", "matching", "pricing", "review", "approval", "export", "profiles", "documents", "intake")
+MODULES = ("worklist", "scalars", "derive", "matching", "pricing", "review", "approval", "ladder", "shown", "export", "profiles", "documents", "intake")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
