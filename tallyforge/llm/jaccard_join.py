@@ -418,13 +418,14 @@ def links(docs: DataFrame, members: DataFrame) -> DataFrame:
 def rooted(docs: DataFrame, members: DataFrame) -> DataFrame:
     """node and root of every representative that verified pairs tie to others, without counting the pairs; members: as grouped() gives them."""
     spark = docs.sparkSession
-    cells = shingled(docs, members.where("k = 1").select("rep", F.col("grp").alias("cell"), "hash_a", "hash_b", "sig"))
-    edges = within_cells(cells, VERIFIED)
-    large = members.where("k > 1")
+    # small and large groups read the texts once
+    held = stored(spark, shingled(docs, members.select("rep", "grp", "k", "hash_a", "hash_b", F.col("n_shingles").alias("weight"), "sig")), "shingles")
+    edges = within_cells(held.where("k = 1").select("rep", F.col("grp").alias("cell"), "sig", "x"), VERIFIED)
+    large = held.where("k > 1")
     if not large.isEmpty():
         # repeated rows are one
-        details = shingled(docs, large.select("rep", "hash_a", "hash_b", F.col("n_shingles").alias("weight"), "sig")).groupBy("rep").agg(*[F.first(c).alias(c) for c in ("weight", "sig", "x")])
-        edges = edges.unionByName(around_pivots(spark, large.select("grp", "rep", "k"), stored(spark, details, "shingles"), VERIFIED))
+        details = large.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("weight", "sig", "x")])
+        edges = edges.unionByName(around_pivots(spark, large.select("grp", "rep", "k").distinct(), stored(spark, details, "details"), VERIFIED))
     return components(edges)
 
 
