@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import fold, table
+from tallyforge.llm.common import fold, scratch, stored, table
 
 #: Characters of an n-gram.
 ORDER = 4
 #: Bits of a character: a UTF-16 unit, so every letter has a code of its own and four fill 64 bits; what isn't a letter is 0.
 BITS = 16
-#: Rows on which rejection and scores are calibrated, about.
-CALIBRATE = 6_000
+#: Decimals of the cross-entropies and gaps that are counted for calibration.
+ENTROPY, GAP = 4, 2
 #: Share of its own language's texts that rejection costs.
 REJECT = 0.001
 #: Characters that are worked on at once.
@@ -188,23 +188,18 @@ class Model:
             start = end
         return -sums / np.maximum(sizes, 1)[:, None], sizes
 
-    def calibrate(self, langs: list[str], entropy: np.ndarray, sizes: np.ndarray) -> None:
-        """Fit what turns the gap between the two best models into a probability, and what cross-entropy is too high to belong to a language."""
-        index = {x: i for i, x in enumerate(self.langs)}
-        truth = np.array([index.get(x, -1) for x in langs])
-        ok = (truth >= 0) & (sizes > 0)
-        truth, entropy, sizes = truth[ok], entropy[ok], sizes[ok]
-        self.ready["floor"] = [float(np.quantile(e, 1 - REJECT) + 0.5) if len(e := entropy[truth == j, j]) else math.inf for j in range(len(self.langs))]
-        if len(truth) and len(self.langs) > 1:
-            x, y = gap(entropy, sizes), (entropy.argmin(1) == truth).astype(float)
+    def calibrate(self, floors: dict[str, float], gaps: np.ndarray, right: np.ndarray, n: np.ndarray) -> None:
+        """Fit what turns the gap between the two best models into a probability (n texts of each gap, whether they were told right), and take what cross-entropy is too high to belong to a language."""
+        self.ready["floor"] = [floors.get(x, math.inf) for x in self.langs]
+        if len(gaps) and len(self.langs) > 1:
             # a few made-up answers keep the curve finite where all answers are right
-            x, y = np.concatenate([x, [0.0, 0.0, 0.5]]), np.concatenate([y, [0.0, 1.0, 1.0]])
+            x, y, n = (np.concatenate([a, b]) for a, b in ((gaps, [0.0, 0.0, 0.5]), (right, [0.0, 1.0, 1.0]), (n, [1.0, 1.0, 1.0])))
             w = np.zeros(2)
             for _ in range(50):
                 z = np.stack([x, np.ones(len(x))], 1)
                 p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-                bend = (z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
-                w = w + np.linalg.solve(bend, z.T @ (y - p) - 0.01 * w)
+                bend = (z * (n * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
+                w = w + np.linalg.solve(bend, z.T @ (n * (y - p)) - 0.01 * w)
             self.ready |= {"slope": max(float(w[0]), 1e-3), "shift": float(w[1])}
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -234,12 +229,14 @@ def has_letter(text: str) -> bool:
 
 
 def train(docs: DataFrame) -> Model:
-    """Learn from docs(text, lang, part, key): models from the n-grams of all rows of parts 0 and 1.
-
-    Calibration is by about CALIBRATE rows of part 1, chosen by key, with
-    models of part 0 alone; part 1's n-grams are added after it.  N-grams are
-    counted in each task and summed over tasks by Spark; all of them reach the
-    driver, some 28 bytes for each language's n-gram.
+    """Learn from docs(text, lang, part): models from the n-grams of all rows of parts 0 and 1.
+
+    Calibration is by all rows of part 1, with models of part 0 alone; part
+    1's n-grams are added after it.  Its cross-entropies and gaps are counted
+    by Spark to ENTROPY and GAP decimals, so that what reaches the driver
+    doesn't grow with the rows.  N-grams are counted in each task and summed
+    over tasks by Spark; all of them reach the driver, some 28 bytes for each
+    language's n-gram.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -291,19 +288,24 @@ def train(docs: DataFrame) -> Model:
 
     model = learn(first)
     if model.langs:
-        sample = known.where("part = 1").select("text", "lang", "key")
-        share = CALIBRATE / max(1, sample.select("key").count())
-        sample = sample.where(F.pmod("key", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+        index = {x: i for i, x in enumerate(model.langs)}
+        shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def score(batches):
             for batch in batches:
-                texts = batch.column(0).to_pylist()
-                entropy, sizes = model.entropies(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(sizes)], ["lang", "entropy", "size"])
-
-        found = sample.mapInArrow(score, "lang string, entropy array<double>, size long").collect()
-        if found:
-            model.calibrate([r.lang for r in found], np.array([r.entropy for r in found]), np.array([r["size"] for r in found]))
+                entropy, sizes = shared.value.entropies(batch.column(0).to_pylist())
+                truth = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
+                ok = np.flatnonzero((truth >= 0) & (sizes > 0))
+                truth, entropy, sizes = truth[ok], entropy[ok], sizes[ok]
+                ahead = gap(entropy, sizes) if len(index) > 1 else np.zeros(len(ok))
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(ok)), pa.array(entropy[np.arange(len(ok)), truth]), pa.array(ahead), pa.array((entropy.argmin(1) == truth).astype(float))], ["lang", "entropy", "gap", "right"])
+
+        with scratch(docs.sparkSession):
+            scored = known.where("part = 1").select("text", "lang").mapInArrow(score, "lang string, entropy double, gap double, right double")
+            scored = stored(docs.sparkSession, scored, "calibration")
+            floors = scored.groupBy("lang").agg(F.percentile(F.round("entropy", ENTROPY), F.lit(1 - REJECT)).alias("e")).collect()
+            gaps = scored.groupBy(F.round("gap", GAP).alias("gap"), "right").agg(F.count("*").alias("n")).orderBy("gap", "right").toArrow()
+        model.calibrate({r.lang: r.e + 0.5 for r in floors}, *(gaps.column(c).to_numpy().astype(float) for c in ("gap", "right", "n")))
     whole = learn(every)
     floor = dict(zip(model.langs, model.ready["floor"], strict=True))
     whole.ready = model.ready | {"floor": [floor.get(x, math.inf) for x in whole.langs]}
@@ -334,6 +336,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = fold(F.col("doc_id"), 4)
-    model = train(docs.where(part != 2).select("text", "lang", F.when(part == 1, 1).otherwise(0).alias("part"), F.xxhash64("doc_id").alias("key")))
+    model = train(docs.where(part != 2).select("text", "lang", F.when(part == 1, 1).otherwise(0).alias("part")))
     found = identify(docs, model)
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

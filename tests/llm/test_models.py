@@ -31,6 +31,24 @@ def test_language(docs, texts):
     assert np.allclose(e, e2) and n.tolist() == n2.tolist()
 
 
+def test_language_calibrates_on_all_rows(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(language, "CALIBRATE", 5, raising=False)
+    part = (F.col("doc_id") % 3 == 1).cast("int").alias("part")
+    model = language.train(docs.select("text", "lang", part, F.xxhash64("doc_id").alias("key")))
+    first = language.train(docs.where("doc_id % 3 <> 1").select("text", "lang", F.lit(0).alias("part"), F.xxhash64("doc_id").alias("key")))
+    own = [(t, x) for i, (t, x) in enumerate(texts) if i % 3 == 1]
+    entropy, sizes = first.entropies([t for t, _ in own])
+    truth = np.array([first.langs.index(x) for _, x in own])
+    want = [np.quantile(entropy[truth == j, j], 1 - language.REJECT) + 0.5 for j in range(len(first.langs))]
+    assert np.allclose(model.ready["floor"], want, atol=1e-3)
+    # the fit's slope and shift are where the likelihood of all gaps is level
+    x, y = language.gap(entropy, sizes), (entropy.argmin(1) == truth).astype(float)
+    x, y = np.concatenate([x, [0.0, 0.0, 0.5]]), np.concatenate([y, [0.0, 1.0, 1.0]])
+    w = np.array([model.ready["slope"], model.ready["shift"]])
+    p = 1 / (1 + np.exp(-np.clip(w[0] * x + w[1], -30, 30)))
+    assert np.allclose([x @ (y - p), (y - p).sum()], 0.01 * w, atol=0.05)
+
+
 def plain_kneser_ney(texts, order=4):
     """Interpolated Kneser-Ney over letters, by dictionaries: text -> cross-entropy of a character."""
 
