@@ -71,6 +71,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join of tables that both grow with the input: sorted and merged, never broadcast, as a table broadcast stands in the driver several times over, and Spark goes by its packed size."""
+    return left.join(right.hint("merge"), on, how)
+
+
 _SCRATCH: list[list[str]] = []
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import scratch, stored
+from tallyforge.llm.common import joined, scratch, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
             both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
             # written, so that the join reads both sides afresh and can split the rows of a node with very many neighbours
             least = stored(spark, both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            large = joined(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
             large = stored(spark, large, "large")
             least = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least")
-            small = large.join(least, "a")
+            small = joined(large, least, "a")
             small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
             now = stored(spark, small, "edges", outer=True)
         new = _state(now)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyforge.llm.common import boxed, scratch, stored, table, two_hashes, words
+from tallyforge.llm.common import boxed, joined, scratch, stored, table, two_hashes, words
 from tallyforge.llm.components import components
 
 SHINGLE = 5
@@ -38,8 +38,8 @@ VALUES, ROWS, STEP = 128, 4, 16
 TOLERANCE = 1e-6
 #: Texts of a block; a larger bucket or group is compared block by block.  Shingles of a block, about.
 BLOCK, SHINGLES = 512, 4_000_000
-#: Large buckets or groups up to which their first members are broadcast.
-PIVOTS = 20_000
+#: Bytes of large buckets' or groups' first members up to which these are broadcast.
+PIVOTS = 8_000_000
 REMEMBER = 100_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -310,10 +310,10 @@ def around_pivots(spark, members: DataFrame, details: DataFrame, close: Close) -
     takes n comparisons and no copies of its members.
     """
     columns = [c for c in details.columns if c != "rep"]
-    full = members.join(details, "rep")
+    full = joined(members, details, "rep")
     pivots = stored(spark, full.groupBy("grp").agg(F.min(F.struct("rep", *columns)).alias("pivot")), "pivots")
-    few = pivots.count() <= PIVOTS
-    met = full.join(F.broadcast(pivots) if few else pivots, "grp").select("grp", "k", "rep", "weight", "pivot", F.struct("rep", *columns).alias("own"))
+    few = pivots.agg(F.coalesce(F.sum(sum((F.length(f"pivot.{c}") for c, kind in details.dtypes if kind == "binary"), F.lit(64))), F.lit(0)).alias("bytes")).collect()[0]["bytes"] <= PIVOTS
+    met = (full.join(F.broadcast(pivots), "grp") if few else joined(full, pivots, "grp")).select("grp", "k", "rep", "weight", "pivot", F.struct("rep", *columns).alias("own"))
 
     def compare(batches):
         for batch in batches:
@@ -337,7 +337,7 @@ def around_pivots(spark, members: DataFrame, details: DataFrame, close: Close) -
     across = across.unionByName(sized.where(~far).select("grp", "rep", numbers(F.col("parts")).alias("i"), j.alias("j"), F.lit(1).alias("side")))
     across = across.select(F.xxhash64("grp", F.lit("across"), "i", "j").alias("cell"), F.lit(False).alias("own"), "side", "rep")
     cells = rest.select("cell", "own", "side", "rep").unionByName(across)
-    return star.unionByName(within_cells(cells.join(details, "rep"), close))
+    return star.unionByName(within_cells(joined(cells, details, "rep"), close))
 
 
 def blocks(n, weight):
@@ -354,9 +354,9 @@ def ties(reps: DataFrame) -> DataFrame:
     full = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
     # bands that gather the same texts are one bucket
     once = full.groupBy("n", "who").agg(F.min("bucket").alias("bucket"))
-    members = stored(spark, banded.join(once.select("bucket", "n"), "bucket"), "buckets")
+    members = stored(spark, joined(banded, once.select("bucket", "n"), "bucket"), "buckets")
     details = reps.select("rep", F.lit(0).cast("long").alias("weight"), "sig")
-    cells = members.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("cell"), "rep").join(details, "rep")
+    cells = joined(members.where(F.col("n") <= BLOCK).select(F.col("bucket").alias("cell"), "rep"), details, "rep")
     found = within_cells(cells, PLAUSIBLE)
     large = members.where(F.col("n") > BLOCK)
     if not large.isEmpty():
@@ -368,7 +368,7 @@ def shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
     """members(rep, hash_a, hash_b, ...) without the hashes, with x: the shingles of each one's text; rows that repeat an id and its text give several."""
     a, b = two_hashes(F.col("doc_id"), F.col("text").cast("string"))
     texts = docs.select(a.alias("hash_a"), b.alias("hash_b"), F.col("text").cast("string").alias("text"))
-    held = members.join(texts, ["hash_a", "hash_b"]).drop("hash_a", "hash_b")
+    held = joined(texts, members, ["hash_a", "hash_b"]).select(*[c for c in members.columns if c not in ("hash_a", "hash_b")], "text")
     kept_ = [f for f in held.schema.fields if f.name != "text"]
     at = held.columns.index("text")
 
@@ -383,8 +383,8 @@ def shingled(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def grouped(reps: DataFrame, groups: DataFrame) -> DataFrame:
     """rep, grp, k (blocks), and what links needs of every tied representative of groups(rep, grp)."""
-    sizes = groups.join(reps.select("rep", "n_shingles"), "rep").groupBy("grp").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("k"))
-    return groups.join(sizes, "grp").join(reps.select("rep", "hash_a", "hash_b", "n_shingles", "sig", "copies"), "rep")
+    sizes = joined(groups, reps.select("rep", "n_shingles"), "rep").groupBy("grp").agg(blocks(F.count("*"), F.sum("n_shingles")).alias("k"))
+    return joined(joined(groups, sizes, "grp"), reps.select("rep", "hash_a", "hash_b", "n_shingles", "sig", "copies"), "rep")
 
 
 def links(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -451,15 +451,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         apart = cells.where("not whole and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
         found = cells.where("whole and rep <> root").select(F.col("rep").alias("node"), "root").unionByName(components(apart))
         counted = cells.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-        linked = reps.select("key", "rep", "copies", "least_id").join(counted, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        linked = joined(joined(reps.select("key", "rep", "copies", "least_id"), counted, "rep", "left"), found.withColumnRenamed("node", "rep"), "rep", "left")
         linked = stored(spark, linked.withColumn("root", F.coalesce("root", "rep")), "linked")
         # classes are settled among representatives; both tables are stored, so that the join can split the rows of a large class
         ids = stored(spark, linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n")).where("n > 1"), "classes")
-        linked = linked.join(ids.drop("n"), "root", "left")
+        linked = joined(linked, ids.drop("n"), "root", "left")
         copies = F.col("copies") - 1
         settled = linked.select("key", F.coalesce("class_id", "least_id").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) + copies).alias("n_links"), copies.alias("n_copies"))
         settled = stored(spark, settled, "settled", outer=True)
-    rows = every.where("key is not null").select("doc_id", "key").join(settled, "key").drop("key")
+    rows = joined(every.where("key is not null").select("doc_id", "key"), settled, "key").drop("key")
     none = F.lit(0).cast("long")
     return rows.unionByName(every.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
 
@@ -475,11 +475,11 @@ def kept(docs: DataFrame) -> DataFrame:
     every, reps, members = candidates(docs)
     with scratch(spark):
         found = stored(spark, rooted(docs, members).withColumnRenamed("node", "rep"), "rooted", outer=True)
-    linked = reps.select("rep", "first").join(found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    linked = joined(reps.select("rep", "first"), found, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     chosen = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.hash_a").alias("kept_a"), F.col("first.hash_b").alias("kept_b"))
     chosen = chosen.unionByName(every.where("key is null").select(F.col("hash_a").alias("kept_a"), F.col("hash_b").alias("kept_b")).distinct())
     a, b = two_hashes(F.col("doc_id"), F.col("text").cast("string"))
-    own = boxed(docs, kept_a=a, kept_b=b).join(stored(spark, chosen, "kept"), ["kept_a", "kept_b"], "left_semi")
+    own = joined(boxed(docs, kept_a=a, kept_b=b), stored(spark, chosen, "kept"), ["kept_a", "kept_b"], "left_semi")
     return own.dropDuplicates(["kept_a", "kept_b"]).select("row.*")
 
 

@@ -231,3 +231,13 @@ def test_proximity(spark):
     index = decontamination.build(docs, spark.createDataFrame([(9, "alpha beta gamma"), (8, "gamma"), (9, "alpha beta gamma")], "item_id long, text string"))
     found = decontamination.proximity_matches(index, 3, 10).join(index.texts, "rid").collect()
     assert sorted((r.doc_id, r.item_id, r.first, r.last) for r in found) == [(1, 9, 0, 5), (3, 9, 0, 2)]
+
+
+def test_near_duplicates_broadcasts_no_table_of_rows(spark, docs):
+    """What is broadcast to every task is built in the driver first: no table that grows with the texts may be."""
+    from tallyforge.llm import components, jaccard_join
+
+    for found in (jaccard_join.near_duplicates(docs), jaccard_join.kept(docs)):
+        assert found.count() and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    a = spark.range(300).selectExpr("id a", "id + 1 b")
+    assert {r.root for r in components.components(a).collect()} == {0}
